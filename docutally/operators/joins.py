@@ -1,0 +1,24 @@
+"""Joins that stay safe when one key holds a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+SALTS = 64
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join to a lookup table with one row per ``key``.
+
+    The lookup side is broadcast only after counting that it has at most ``max_rows`` rows.
+    Beyond that every lookup row is copied ``SALTS`` times and the big side spreads each key
+    over the copies, so a hot key is shared by many tasks.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), key, "left")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = [c for c in big.columns if c != key]
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
+    return big.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
