@@ -262,9 +262,12 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
     gated = values.withColumns({"errors": errors, "warnings": warnings}).withColumn(
         "valid", F.col("json_valid") & (F.size("errors") == 0)
     )
-    return gated.select(
-        *answers.columns, "json_valid", "errors", "warnings", "valid", F.when(F.col("valid"), record).alias("record")
+    verdict = F.struct(
+        "json_valid", "errors", "warnings", "valid", F.when(F.col("valid"), record).alias("record")
     )
+    # Unpacking a one-element list keeps later filters from being moved below the checks, where
+    # every mention of a verdict would repeat all of them.
+    return gated.select(*answers.columns, F.inline(F.array(verdict)))
 
 
 def gate_error() -> Column:

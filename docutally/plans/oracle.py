@@ -92,10 +92,10 @@ CTES = {
         FROM lineitem""",
     "lines": """
         SELECT doc_id, p_name AS description,
-               row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part_id, supplier_id) - 1 AS pos,
-               CASE WHEN NOT flat THEN q0 END AS q, CASE WHEN NOT flat THEN price END AS u,
-               CASE WHEN flat THEN price ELSE round(q0 * price, 2)::DECIMAL(18,2) END AS t
-        FROM priced JOIN part ON p_partkey = part_id""",
+               row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part_id, supplier_id, t) - 1 AS pos, q, u, t
+        FROM (SELECT *, CASE WHEN NOT flat THEN q0 END AS q, CASE WHEN NOT flat THEN price END AS u,
+                     CASE WHEN flat THEN price ELSE round(q0 * price, 2)::DECIMAL(18,2) END AS t
+              FROM priced JOIN part ON p_partkey = part_id)""",
     "sums": """
         SELECT doc_id, sum(CASE WHEN flat THEN price ELSE round(q0 * price, 2)::DECIMAL(18,2) END)::DECIMAL(18,2) AS subtotal,
                count(*) AS n_items

@@ -129,7 +129,7 @@ def invoices(spark: SparkSession, sf_dir: str, per_page: int = dataset.ITEMS_PER
     lists = assemble_items(
         invoice_lines(spark, sf_dir),
         invoice_sums(spark, sf_dir),
-        ["line_no", "part_id", "supplier_id"],
+        ["line_no", "part_id", "supplier_id", "total"],
         item_struct(),
         "line_id",
         per_page=per_page,
@@ -205,7 +205,9 @@ def model_output(spark: SparkSession, sf_dir: str, models=("large",)) -> DataFra
         F.col("_run.model").alias("model"),
         _pick(DEFECTS, number).alias("defect"),
     )
-    return marked.withColumn("raw_output", answer_text(F.col("defect"), F.col("invoice")))
+    answer = F.struct(answer_text(F.col("defect"), F.col("invoice")).alias("raw_output"))
+    # Unpacked from a list so that the text is made once per row, however often it is used.
+    return marked.select("*", F.inline(F.array(answer)))
 
 
 def answer_text(defect: Column, gold: Column) -> Column:
