@@ -90,36 +90,63 @@ def valid_rate(rows: DataFrame, by: list[str]) -> DataFrame:
 ITEM_KEY = ["description", "quantity", "unit_price", "total"]
 
 
-def item_counts(rows: DataFrame, keys: list[str], truth: str = "invoice", prediction: str = "prediction") -> DataFrame:
-    """Per document and distinct item: how often the label (``g``) and the prediction (``p``) has it."""
+_ITEM_ENTRY = "description:string,quantity:double,unit_price:decimal(18,6),total:decimal(18,6)"
 
-    def side(label: str, g: int, p: int) -> Column:
-        items = F.transform(
+
+def item_counts(
+    rows: DataFrame,
+    keys: list[str],
+    truth: str = "invoice",
+    prediction: str = "prediction",
+    measures: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Per document and distinct item: how often the label (``g``) and the prediction (``p``) has it.
+
+    ``measures`` are whole numbers per document. They travel as one more entry, without an
+    item, so that documents and items are counted in one pass over the rows.
+    """
+    measures = measures or {}
+    counted = ["g", "p", *measures]
+
+    def numbers(values: dict[str, Column]) -> list[Column]:
+        return [F.coalesce(values.get(n, F.lit(0)).cast("bigint"), F.lit(0)).alias(n) for n in counted]
+
+    def side(label: str, name: str) -> Column:
+        return F.transform(
             F.col(label)["line_items"],
             lambda x: F.struct(
                 norm_text(x["description"]).alias("description"),
                 x["quantity"].alias("quantity"),
                 norm_number(x["unit_price"]).alias("unit_price"),
                 norm_number(x["total"]).alias("total"),
-                F.lit(g).cast("bigint").alias("g"),
-                F.lit(p).cast("bigint").alias("p"),
+                *numbers({name: F.lit(1)}),
             ),
         )
-        return F.coalesce(items, F.array().cast(
-            "array<struct<description:string,quantity:double,unit_price:decimal(18,6),"
-            "total:decimal(18,6),g:bigint,p:bigint>>"
-        ))
 
-    both = F.concat(side(truth, 1, 0), side(prediction, 0, 1))
-    long = rows.select(*keys, F.inline(both))
-    return long.groupBy(*keys, *ITEM_KEY).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    kind = f"array<struct<{_ITEM_ENTRY},{','.join(n + ':bigint' for n in counted)}>>"
+    none = F.array().cast(kind)
+    document = F.struct(
+        F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("double").alias("quantity"),
+        F.lit(None).cast("decimal(18,6)").alias("unit_price"),
+        F.lit(None).cast("decimal(18,6)").alias("total"),
+        *numbers(measures),
+    )
+    entries = [F.coalesce(side(truth, "g"), none), F.coalesce(side(prediction, "p"), none)]
+    if measures:
+        entries.append(F.array(document))
+    long = rows.select(*keys, F.inline(F.concat(*entries)))
+    return long.groupBy(*keys, *ITEM_KEY).agg(*[F.sum(n).alias(n) for n in counted])
 
 
-def item_matches(rows: DataFrame, keys: list[str]) -> DataFrame:
+def item_matches(rows: DataFrame, keys: list[str], measures: dict[str, Column] | None = None) -> DataFrame:
     """Per document and description: label and predicted copies, matched copies, complete copies."""
-    per_item = item_counts(rows, keys)
+    per_item = item_counts(rows, keys, measures=measures)
     return per_item.groupBy(*keys, "description").agg(
-        F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum(F.least("g", "p")).alias("complete")
+        F.sum("g").alias("g"),
+        F.sum("p").alias("p"),
+        F.sum(F.least("g", "p")).alias("complete"),
+        *[F.sum(n).alias(n) for n in measures or {}],
     ).withColumn("matched", F.least("g", "p"))
 
 
@@ -164,11 +191,14 @@ def hallucinated_items(text="raw_text", prediction: str = "prediction") -> Colum
 
 
 def is_truncated(raw="raw_output") -> Column:
-    """Text that starts a JSON object or list, is not valid JSON, and has no closing end."""
-    text = F.trim(raw)
-    opened = text.startswith("{") | text.startswith("[")
-    closed = text.endswith("}") | text.endswith("]")
-    return F.coalesce(opened & ~closed & strict_json(raw).isNull(), F.lit(False))
+    """Text that is not valid JSON and leaves a list, an object or a string open at its end."""
+    outside = F.regexp_replace(raw, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+
+    def count(marks: str) -> Column:
+        return F.length(outside) - F.length(F.translate(outside, marks, ""))
+
+    is_open = (count("{[") > count("}]")) | F.contains(outside, F.lit('"'))
+    return F.coalesce(is_open & strict_json(raw).isNull(), F.lit(False))
 
 
 def with_flags(rows: DataFrame) -> DataFrame:
@@ -176,34 +206,27 @@ def with_flags(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated()})
 
 
-def document_codes() -> Column:
-    """(level, code) of one matched and flagged row, apart from its line items."""
+def document_errors() -> dict[tuple[str, str], Column]:
+    """(level, code) to condition on a matched and flagged row, apart from line items."""
     parsed = F.col("prediction").isNotNull()
-
-    def entry(level: str, code: str, condition: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")))
-
-    return F.array_compact(
-        F.array(
-            *[entry("document", code, parsed & ~F.col(f"right.{f}")) for f, code in fv.FIELD_ERRORS.items()],
-            entry("generation", "TRUNCATION", F.col("truncated")),
-            entry("generation", "HALLUCINATION", F.col("hallucinated") > 0),
-        )
-    )
+    return {
+        **{("document", code): parsed & ~F.col(f"right.{f}") for f, code in fv.FIELD_ERRORS.items()},
+        ("generation", "TRUNCATION"): F.col("truncated"),
+        ("generation", "HALLUCINATION"): F.col("hallucinated") > 0,
+    }
 
 
-def item_codes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Item error codes per document: (keys, code, n), counted over matched descriptions.
+def item_errors(grouped: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
+    """Item error counts per document, and the sums of ``others``, from ``item_counts`` rows.
 
     A document's wrong quantities are the matched copies minus those that agree on
     description and quantity; prices and totals likewise. When a document has both missing and
     extra items, the smaller of the two numbers is counted as wrong descriptions.
     """
-    per_item = item_counts(rows.where(F.col("prediction").isNotNull()), keys)
     base = [*keys, "description"]
     levels = [base, [*base, "quantity"], [*base, "unit_price"], [*base, "total"]]
-    grouped = per_item.groupingSets(levels, *base, "quantity", "unit_price", "total").agg(
-        F.grouping_id().alias("level"), F.sum("g").alias("g"), F.sum("p").alias("p")
+    sets = grouped.groupingSets(levels, *base, "quantity", "unit_price", "total").agg(
+        F.grouping_id().alias("level"), *[F.sum(n).alias(n) for n in ("g", "p", *others)]
     )
     # The last three bits tell which of quantity, unit_price and total were left out.
     only_text, with_quantity, with_price, with_total = 0b111, 0b011, 0b101, 0b110
@@ -212,17 +235,19 @@ def item_codes(rows: DataFrame, keys: list[str]) -> DataFrame:
         return F.sum(F.when(F.col("level") == level, value).otherwise(0))
 
     g, p = F.col("g"), F.col("p")
-    per_document = grouped.groupBy(*keys).agg(
+    per_document = sets.groupBy(*keys).agg(
         total(only_text, F.least(g, p)).alias("matched"),
         total(only_text, F.greatest(g - p, F.lit(0))).alias("missing"),
         total(only_text, F.greatest(p - g, F.lit(0))).alias("extra"),
         total(with_quantity, F.least(g, p)).alias("same_quantity"),
         total(with_price, F.least(g, p)).alias("same_price"),
         total(with_total, F.least(g, p)).alias("same_total"),
+        *[total(only_text, F.col(n)).alias(n) for n in others],
     )
     renamed = F.least("missing", "extra")
-    codes = per_document.select(
+    return per_document.select(
         *keys,
+        *others,
         (F.col("missing") - renamed).alias("MISSING_LINE_ITEMS"),
         (F.col("extra") - renamed).alias("EXTRA_LINE_ITEMS"),
         renamed.alias("WRONG_DESCRIPTION"),
@@ -230,21 +255,31 @@ def item_codes(rows: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("matched") - F.col("same_price")).alias("WRONG_UNIT_PRICE"),
         (F.col("matched") - F.col("same_total")).alias("WRONG_TOTAL"),
     )
-    return codes.unpivot(keys, fv.ITEM_ERRORS, "code", "n").where("n > 0")
 
 
 def example_errors(rows: DataFrame, keys: list[str], labels: DataFrame | None = None) -> DataFrame:
     """Error records per example: (keys, level, code, n).
 
     SEMANTIC_SUBSTITUTION and ANNOTATION_AMBIGUITY need a human judgement: they come only from
-    ``labels`` (keys, level, code), never from a guess.
+    ``labels`` (keys, level, code), never from a guess. Item errors are looked for in valid
+    answers only.
     """
-    one = F.lit(1).cast("bigint").alias("n")
-    flagged = with_flags(with_matches(rows))
-    errors = flagged.select(*keys, F.inline(document_codes())).select("*", one)
-    items = item_codes(rows, keys).select(*keys, F.lit("line_item").alias("level"), "code", "n")
-    errors = errors.unionByName(items)
+    flagged = with_flags(with_matches(rows)).withColumn(
+        "_truth", F.when(F.col("prediction").isNotNull(), F.col("invoice"))
+    )
+    conditions = document_errors()
+    names = [f"{level}_{code}" for level, code in conditions]
+    measures = dict(zip(names, conditions.values()))
+    counted = item_errors(item_counts(flagged, keys, truth="_truth", measures=measures), keys, names)
+
+    def entry(level: str, code: str, column: str) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.col(column).alias("n"))
+
+    entries = [entry(level, code, name) for (level, code), name in zip(conditions, names)]
+    entries += [entry("line_item", code, code) for code in fv.ITEM_ERRORS]
+    errors = counted.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["n"] > 0)))
     if labels is not None:
+        one = F.lit(1).cast("bigint").alias("n")
         errors = errors.unionByName(labels.select(*keys, "level", "code", one))
     return errors
 
@@ -254,18 +289,29 @@ def error_taxonomy(errors: DataFrame, by: list[str]) -> DataFrame:
 
 
 # --- result tables -------------------------------------------------------------------
+def _document_measures() -> dict[str, Column]:
+    """Per matched row: one document, whether it is valid, and its number of right fields."""
+    n_right = sum((F.col(f"right.{f}").cast("bigint") for f in DOCUMENT_FIELDS), F.lit(0).cast("bigint"))
+    return {"documents": F.lit(1), "valid": F.col("prediction").isNotNull(), "n_right": n_right}
+
+
 def results_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per model and dataset with the five published metrics, in percent."""
     by = ["model", "dataset"]
-    matched = with_matches(rows)
-    n_right = sum((F.col(f"right.{f}").cast("bigint") for f in DOCUMENT_FIELDS), F.lit(0).cast("bigint"))
-    documents = matched.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("documents"),
-        _percent(F.count_if(F.col("prediction").isNotNull()), F.count(F.lit(1))).alias("valid_json"),
-        _percent(F.sum(n_right), F.count(F.lit(1)) * len(DOCUMENT_FIELDS)).alias("field_accuracy"),
+    per_text = item_matches(with_matches(rows), list(dict.fromkeys([*by, *keys])), _document_measures())
+    sums = per_text.groupBy(*by).agg(
+        *[F.sum(n).alias(n) for n in ("documents", "valid", "n_right", "g", "p", "matched", "complete")]
+    )
+    n = F.col
+    return sums.select(
+        *by,
+        "documents",
+        _percent(n("valid"), n("documents")).alias("valid_json"),
+        _percent(n("n_right"), n("documents") * len(DOCUMENT_FIELDS)).alias("field_accuracy"),
+        _percent(n("matched"), n("g")).alias("item_recall"),
+        _percent(n("matched"), n("p")).alias("item_precision"),
+        _percent(n("complete"), n("g")).alias("complete_item"),
     )
-    items = item_prf(rows, by, keys).select(*by, "item_recall", "item_precision", "complete_item")
-    return documents.join(items, by, "left").select(*by, "documents", *METRICS)
 
 
 def metric_long(results: DataFrame) -> DataFrame:
@@ -292,16 +338,16 @@ def model_delta(results: DataFrame, before: str, after: str) -> DataFrame:
 
 def document_checks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per labelled document: fields right, items matched and complete, and whether all agree."""
-    matched = with_matches(rows)
-    n_right = sum((F.col(f"right.{f}").cast("int") for f in DOCUMENT_FIELDS), F.lit(0))
-    documents = matched.select(*keys, n_right.alias("fields_right"))
-    items = item_matches(rows, keys).groupBy(*keys).agg(
-        F.sum("g").alias("label_items"), F.sum("p").alias("predicted_items"), F.sum("complete").alias("complete")
+    per_text = item_matches(with_matches(rows), keys, _document_measures())
+    sums = per_text.groupBy(*keys).agg(
+        F.sum("n_right").alias("fields_right"),
+        F.sum("g").alias("label_items"),
+        F.sum("p").alias("predicted_items"),
+        F.sum("complete").alias("complete"),
     )
-    joined = documents.join(items, keys, "left").na.fill(0, ["label_items", "predicted_items", "complete"])
     all_fields = F.col("fields_right") == len(DOCUMENT_FIELDS)
     all_items = (F.col("complete") == F.col("label_items")) & (F.col("complete") == F.col("predicted_items"))
-    return joined.withColumn("passed", all_fields & all_items)
+    return sums.withColumn("passed", all_fields & all_items)
 
 
 def write_run(rows: DataFrame, keys: list[str], path: str, run: dict[str, str]) -> None:

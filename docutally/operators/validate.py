@@ -126,25 +126,25 @@ _AMOUNTS = ["subtotal", "tax_amount", "total_amount"]
 _ITEM_FIELDS = ["description", "quantity", "unit_price", "total"]
 
 
+def _variants(names: list[str]) -> str:
+    return "struct<" + ",".join(f"{name}:variant" for name in names) + ">"
+
+
 def _checked_items(items: Column) -> Column:
-    """Per line item: typed fields and ``errors``. Each step names what the next one reuses."""
-
-    def lookup(m, f):
-        return F.try_element_at(m, F.lit(f))
-
-    objects = F.transform(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
-    fields = F.transform(
-        objects,
-        lambda m: F.struct(
-            m.isNotNull().alias("is_object"),
-            *[lookup(m, f).alias(f) for f in _ITEM_FIELDS],
-            *[_kind(lookup(m, f)).alias(f + "_kind") for f in _ITEM_FIELDS],
+    """Per line item: typed fields and ``errors``. Each step names what the next one reuses.
+
+    ``items`` is an array of structs of VARIANT fields; an element that is not an object has
+    none of its fields, so it fails by its missing description and total.
+    """
+    kinds = F.transform(
+        items,
+        lambda s: F.struct(
+            *[s[f].alias(f) for f in _ITEM_FIELDS], *[_kind(s[f]).alias(f + "_kind") for f in _ITEM_FIELDS]
         ),
     )
     values = F.transform(
-        fields,
+        kinds,
         lambda s: F.struct(
-            s["is_object"].alias("is_object"),
             *[s[f + "_kind"].alias(f + "_kind") for f in _ITEM_FIELDS],
             _text(s["description"]).alias("description"),
             _quantity(s["quantity"], s["quantity_kind"]).alias("quantity"),
@@ -172,7 +172,7 @@ def _checked_items(items: Column) -> Column:
             s["quantity"].alias("quantity"),
             _money(s["unit_price"]).alias("unit_price"),
             _money(s["total"]).alias("total"),
-            F.when(s["is_object"], codes).otherwise(F.array(_tagged(at, F.lit("NOT_AN_OBJECT")))).alias("errors"),
+            codes.alias("errors"),
         )
 
     return F.transform(values, finish)
@@ -188,17 +188,27 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
     ``record``      the typed invoice with defaults; null when not valid
     """
     parsed = answers.withColumn("_doc", strict_json(raw))
-    opened = parsed.withColumn("_map", F.try_variant_get("_doc", "$", "map<string,variant>"))
+    opened = parsed.withColumn("_fields", F.try_variant_get("_doc", "$", _variants(_FIELDS)))
     fields = opened.select(
         *answers.columns,
         F.col("_doc").isNotNull().alias("json_valid"),
-        F.col("_map").isNotNull().alias("_is_object"),
-        *[F.try_element_at("_map", F.lit(f)).alias("_" + f) for f in _FIELDS],
+        F.col("_fields").isNotNull().alias("_is_object"),
+        *[F.col(f"_fields.{f}").alias("_" + f) for f in _FIELDS],
+        F.try_variant_get("_fields.line_items", "$", f"array<{_variants(_ITEM_FIELDS)}>").alias("_list"),
+    )
+    scalars = [f for f in _FIELDS if f != "line_items"]
+    kinds = fields.withColumns(
+        {
+            **{f"_{f}_kind": _kind(F.col("_" + f)) for f in scalars},
+            # The type name of a list spells out its elements; whether it is null is enough here.
+            "_line_items_kind": F.when(F.is_variant_null("_line_items"), "VOID").when(
+                F.col("_line_items").isNotNull(), "STATED"
+            ),
+        }
     )
-    kinds = fields.withColumns({f"_{f}_kind": _kind(F.col("_" + f)) for f in _FIELDS})
     values = kinds.withColumns(
         {
-            "_items": _checked_items(F.try_variant_get("_line_items", "$", "array<variant>")),
+            "_items": _checked_items(F.col("_list")),
             "_date": _date(F.col("_invoice_date"), F.col("_invoice_date_kind")),
             **{f"_{f}_text": _amount_text(F.col("_" + f), F.col(f"_{f}_kind")) for f in _AMOUNTS},
         }
