@@ -81,8 +81,9 @@ def invoice_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sums(invoice_lines(spark, sf_dir, describe=False))
 
 
-def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoice_headers(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> DataFrame:
     """One row per invoice without its items; omitted fields are null, amounts are decimals."""
+    sums = invoice_sums(spark, sf_dir) if sums is None else sums
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     key = F.col("doc_id")
@@ -93,7 +94,7 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("dataset"),
         _pick(fv.CURRENCIES, F.col("o_custkey") % len(fv.CURRENCIES)).alias("currency"),
     )
-    summed = named.join(invoice_sums(spark, sf_dir), "doc_id", "left").withColumns(
+    summed = named.join(sums, "doc_id", "left").withColumns(
         {
             "subtotal": F.coalesce("subtotal", F.lit(0).cast(CENTS)),
             "n_items": F.coalesce("n_items", F.lit(0).cast("bigint")),
@@ -126,15 +127,16 @@ def item_struct() -> Column:
 
 def invoices(spark: SparkSession, sf_dir: str, per_page: int = dataset.ITEMS_PER_PAGE) -> DataFrame:
     """Label records: (doc_id, page_no, dataset, invoice) with ``invoice`` in its JSON form."""
+    sums = invoice_sums(spark, sf_dir)
     lists = assemble_items(
         invoice_lines(spark, sf_dir),
-        invoice_sums(spark, sf_dir),
+        sums,
         ["line_no", "part_id", "supplier_id", "total"],
         item_struct(),
         "line_id",
         per_page=per_page,
     )
-    pages = invoice_headers(spark, sf_dir).withColumn(
+    pages = invoice_headers(spark, sf_dir, sums).withColumn(
         "page_no", F.explode(F.sequence(F.lit(0), page_count("n_items", per_page) - 1))
     )
     full = pages.join(lists, ["doc_id", "page_no"], "left")

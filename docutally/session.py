@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Runtime settings every operator relies on.
@@ -19,6 +21,8 @@ SETTINGS = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
+    # Functions of this package travel to the executors with the query; nothing to install there.
+    cloudpickle.register_pickle_by_value(sys.modules["docutally"])
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
