@@ -12,6 +12,7 @@ from docutally.fixed_values import DEFAULT_CURRENCY
 from docutally.functions.text import trim_all
 from docutally.schemas import MONEY
 
+PLAIN_NUMBER = r"^\d+(\.\d+)?$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|(?i)^[+-]?(nan|inf|infinity)$"
 DATE = r"^\d{4}-\d{2}-\d{2}([Tt _]00:00(:00(\.0+)?)?([Zz]|[+-]\d{2}:?\d{2})?)?$"
@@ -23,17 +24,25 @@ INVALID_SCHEMA = "Schema validation failed: "
 
 
 # --- strict JSON ---------------------------------------------------------------------
+def _listed(raw: Column) -> Column:
+    """The answer parsed as the first of two list elements, the second being its own hash."""
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), F.xxhash64(raw).cast("string"), F.lit("]")))
+
+
+def _only_value(listed: Column, raw: Column) -> Column:
+    whole = F.try_variant_get(listed, "$[1]", "bigint") == F.xxhash64(raw)
+    single = whole & F.try_variant_get(listed, "$[2]", "variant").isNull()
+    return F.when(single, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def strict_json(raw) -> Column:
     """The answer as VARIANT, or null unless the whole text is exactly one JSON value.
 
-    Spark's parser stops after the first value and ignores what follows. Wrapped once as an
-    array and once as an object, text with anything left over fails in at least one form.
+    Spark's parser stops after the first value and ignores what follows. Inside a list that
+    ends with the hash of the text, anything left over breaks the list or its second element.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
-    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    single = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
-    return F.when(member.isNotNull() & single, F.try_variant_get(listed, "$[0]", "variant"))
+    return _only_value(_listed(raw), raw)
 
 
 def canonical_json(raw) -> Column:
@@ -59,9 +68,11 @@ def _amount_text(field: Column, kind: Column) -> Column:
     """Source text of an amount; numbers print the way a JSON reader keeps them (``1.50`` as 1.5)."""
     digits = F.try_variant_get(field, "$", "decimal(38,12)").cast("string")
     number = F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", ".0")
+    text = _text(field)
+    cleaned = F.replace(trim_all(text), F.lit("_"), F.lit(""))
     return (
-        F.when(kind == "STRING", F.replace(trim_all(_text(field)), F.lit("_"), F.lit("")))
-        .when(kind == "BIGINT", _text(field))
+        F.when(kind == "STRING", F.when(text.rlike(PLAIN_NUMBER), text).otherwise(cleaned))
+        .when(kind == "BIGINT", text)
         .when(_is_number(kind), F.coalesce(number, _text(field)))
     )
 
@@ -78,9 +89,12 @@ def _date(field: Column, kind: Column) -> Column:
 
 
 def _quantity(field: Column, kind: Column) -> Column:
-    text = F.when((kind == "STRING") | _is_number(kind), F.replace(trim_all(_text(field)), F.lit("_"), F.lit("")))
-    number = F.when(text.rlike(FLOAT), text.try_cast("double"))
-    return F.when(kind == "BOOLEAN", F.when(_text(field) == "true", 1.0).otherwise(0.0)).otherwise(number)
+    text = F.replace(trim_all(_text(field)), F.lit("_"), F.lit(""))
+    return (
+        F.when(_is_number(kind), F.try_variant_get(field, "$", "double"))
+        .when(kind == "STRING", F.when(text.rlike(FLOAT), text.try_cast("double")))
+        .when(kind == "BOOLEAN", F.when(_text(field) == "true", 1.0).otherwise(0.0))
+    )
 
 
 # --- error codes ---------------------------------------------------------------------
@@ -101,10 +115,20 @@ def _amount_code(kind: Column, text: Column, required: bool = False) -> Column:
     return (
         _presence(kind, required, not required)
         .when(_stated(kind) & ~F.coalesce(text.rlike(NUMBER), F.lit(False)), F.lit("NOT_A_NUMBER"))
-        .when(text.try_cast("double") < 0, F.lit("NEGATIVE"))
+        .when(_negative(text), F.lit("NEGATIVE"))
     )
 
 
+def _negative(text: Column) -> Column:
+    return text.startswith("-") & (text.try_cast("double") < 0)
+
+
+def _amount_fine(kind: Column, text: Column, required: bool = False) -> Column:
+    """Whether ``_amount_code`` would find nothing."""
+    number = _stated(kind) & text.rlike(NUMBER) & ~_negative(text)
+    return number if required else ~_stated(kind) | number
+
+
 def _value_code(kind: Column, value: Column, code: str) -> Column:
     return F.when(_stated(kind) & value.isNull(), F.lit(code))
 
@@ -167,12 +191,19 @@ def _checked_items(items: Column) -> Column:
                 _tagged(path("total"), _amount_code(s["total_kind"], s["total"], required=True)),
             )
         )
+        # Most items are right; paths and codes are only made for the others.
+        fine = (
+            (s["description_kind"] == "STRING")
+            & (~_stated(s["quantity_kind"]) | s["quantity"].isNotNull())
+            & _amount_fine(s["unit_price_kind"], s["unit_price"])
+            & _amount_fine(s["total_kind"], s["total"], required=True)
+        )
         return F.struct(
             s["description"].alias("description"),
             s["quantity"].alias("quantity"),
             _money(s["unit_price"]).alias("unit_price"),
             _money(s["total"]).alias("total"),
-            codes.alias("errors"),
+            F.when(fine, F.array().cast("array<string>")).otherwise(codes).alias("errors"),
         )
 
     return F.transform(values, finish)
@@ -187,7 +218,7 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
     ``valid``       both gates passed
     ``record``      the typed invoice with defaults; null when not valid
     """
-    parsed = answers.withColumn("_doc", strict_json(raw))
+    parsed = answers.withColumn("_listed", _listed(F.col(raw))).withColumn("_doc", _only_value(F.col("_listed"), F.col(raw)))
     opened = parsed.withColumn("_fields", F.try_variant_get("_doc", "$", _variants(_FIELDS)))
     fields = opened.select(
         *answers.columns,
@@ -214,6 +245,8 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
         }
     )
 
+    values = values.withColumns({f"_{f}_money": _money(F.col(f"_{f}_text")) for f in _AMOUNTS})
+
     def kind(f: str) -> Column:
         return F.col(f"_{f}_kind")
 
@@ -240,18 +273,18 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
         .otherwise(F.concat(F.array_compact(F.array(*codes)), F.coalesce(item_errors, no_errors)))
     )
 
-    def too_large(text: Column) -> Column:
-        return text.rlike(NUMBER) & text.try_cast(MONEY).isNull()
+    def too_large(money: Column) -> Column:
+        return money["amount"].isNull() & money["text"].rlike(NUMBER)
 
     warnings = F.array_compact(
         F.array(
-            *[F.when(too_large(F.col(f"_{f}_text")), F.lit(f"{f}:AMOUNT_OUT_OF_RANGE")) for f in _AMOUNTS],
+            *[F.when(too_large(F.col(f"_{f}_money")), F.lit(f"{f}:AMOUNT_OUT_OF_RANGE")) for f in _AMOUNTS],
             F.when(
-                F.exists("_items", lambda x: too_large(x["unit_price"]["text"])),
+                F.exists("_items", lambda x: too_large(x["unit_price"])),
                 F.lit("line_items.unit_price:AMOUNT_OUT_OF_RANGE"),
             ),
             F.when(
-                F.exists("_items", lambda x: too_large(x["total"]["text"])),
+                F.exists("_items", lambda x: too_large(x["total"])),
                 F.lit("line_items.total:AMOUNT_OUT_OF_RANGE"),
             ),
         )
@@ -266,7 +299,7 @@ def check_answers(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
                            "unit_price:struct<text:string,amount:decimal(18,6)>,"
                            "total:struct<text:string,amount:decimal(18,6)>>>"),
         ).alias("line_items"),
-        *[_money(F.col(f"_{f}_text")).alias(f) for f in _AMOUNTS],
+        *[F.col(f"_{f}_money").alias(f) for f in _AMOUNTS],
         F.coalesce(_text(F.col("_currency")), F.lit(DEFAULT_CURRENCY)).alias("currency"),
     )
     gated = values.withColumns({"errors": errors, "warnings": warnings}).withColumn(

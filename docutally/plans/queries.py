@@ -15,7 +15,7 @@ from docutally.operators.extract import (
 from docutally.operators.prep import extraction_prompt, prompt_document, split_blank, training_example
 from docutally.operators.validate import canonical_json, check_answers, record_json, record_label, strict_json
 from docutally.plans import views
-from docutally.session import configure, fresh_path
+from docutally.session import configure, fresh_path, spread
 from docutally.sources import jsonl
 from docutally.sources import requestlog as log_files
 from docutally.streaming import stream
@@ -318,7 +318,7 @@ def item_table(spark, d):
 @query
 def generate_invoices(spark, d):
     ids = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    return dataset.generate_invoices(ids).select("doc_id", _label_json().alias("label"))
+    return dataset.generate_invoices(spread(ids)).select("doc_id", _label_json().alias("label"))
 
 
 @query
@@ -555,7 +555,7 @@ def run_artifacts(spark, d):
 def pack_training_rows(spark, d):
     completion = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", "lang", "source"))
     rows = views.table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), completion.alias("completion"))
-    packed = training.pack_training_rows(rows)
+    packed = training.pack_training_rows(spread(rows))
     kept = F.filter("labels", lambda x: x != fv.MASKED_LABEL)
     return packed.select(
         "doc_id",
