@@ -271,18 +271,19 @@ def is_test_row(text, test_split: float = fv.TEST_SPLIT) -> Column:
     return sha256_mod_10000(text) < int(test_split * 10000)
 
 
+def _stage(text: str, failed: Column, passed: Column) -> Column:
+    return F.when(failed | is_blank(text), "error").when(~passed, "roundtrip").otherwise("passed")
+
+
 def attempt_status(
     attempts: DataFrame, text: str, order: str, failed: Column, passed: Column, history: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``status`` per attempt, decided in this order: error, roundtrip, duplicate, kept."""
-    checked = attempts.withColumn(
-        "_stage",
-        F.when(failed | is_blank(text), "error").when(~passed, "roundtrip").otherwise("passed"),
-    )
-    first = first_per_text(checked.where("_stage = 'passed'"), text, order)
-    if history is not None:
-        seen = history.select(F.col(text).alias("_text"))
-        first = first.join(seen, first[text] == seen["_text"], "left_anti")
+    """Add ``status`` per attempt, decided in this order: error, roundtrip, duplicate, kept.
+
+    Reads ``attempts`` twice; give it a written table when they are costly to make.
+    """
+    checked = attempts.withColumn("_stage", _stage(text, failed, passed))
+    first = _unknown(first_per_text(checked.where("_stage = 'passed'"), text, order), text, history)
     kept = first.select(F.col(order).alias("_kept"))
     joined = checked.join(kept, F.col(order) == F.col("_kept"), "left")
     return joined.withColumn(
@@ -293,5 +294,40 @@ def attempt_status(
     ).drop("_stage", "_kept")
 
 
-def build_counters(statuses: DataFrame) -> DataFrame:
-    return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+def _unknown(texts: DataFrame, text: str, history: DataFrame | None) -> DataFrame:
+    """Rows of distinct texts that ``history`` does not hold."""
+    if history is None:
+        return texts
+    seen = history.select(F.col(text).alias("_text"))
+    return texts.join(seen, F.col(text) == F.col("_text"), "left_anti")
+
+
+def build_counters(
+    attempts: DataFrame, text: str, failed: Column, passed: Column, history: DataFrame | None = None
+) -> DataFrame:
+    """Number of attempts per status, in one pass: every accepted text is kept once, its other
+    copies are duplicates. Copies are folded before the shuffle."""
+    staged = attempts.select(_stage(text, failed, passed).alias("_stage"), text)
+    accepted = F.when(F.col("_stage") == "passed", F.col(text))
+    groups = staged.groupBy("_stage", F.xxhash64(accepted).alias("_hash"), accepted.alias(text)).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    if history is None:
+        known = groups.withColumn("_known", F.lit(False))
+    else:
+        seen = history.select(F.col(text).alias("_text")).distinct().withColumn("_known", F.lit(True))
+        known = groups.join(seen, F.col(text) == F.col("_text"), "left").na.fill(False, ["_known"])
+    ok, n = F.col("_stage") == "passed", F.col("n")
+    new = (ok & ~F.col("_known")).cast("bigint")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
+
+    names = ["error", "roundtrip", "duplicate", "kept"]
+    sums = known.agg(
+        total(F.when(F.col("_stage") == "error", n)).alias("error"),
+        total(F.when(F.col("_stage") == "roundtrip", n)).alias("roundtrip"),
+        total(F.when(ok, n - new)).alias("duplicate"),
+        total(new).alias("kept"),
+    )
+    return sums.unpivot([], names, "status", "n")

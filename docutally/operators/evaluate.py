@@ -190,20 +190,22 @@ def hallucinated_items(text="raw_text", prediction: str = "prediction") -> Colum
     return F.coalesce(F.size(F.when(F.col(prediction).isNotNull(), odd)), F.lit(0))
 
 
-def is_truncated(raw="raw_output") -> Column:
+def is_truncated(raw="raw_output", json_valid: Column | None = None) -> Column:
     """Text that is not valid JSON and leaves a list, an object or a string open at its end."""
+    json_valid = strict_json(raw).isNotNull() if json_valid is None else json_valid
     outside = F.regexp_replace(raw, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
 
     def count(marks: str) -> Column:
         return F.length(outside) - F.length(F.translate(outside, marks, ""))
 
     is_open = (count("{[") > count("}]")) | F.contains(outside, F.lit('"'))
-    return F.coalesce(is_open & strict_json(raw).isNull(), F.lit(False))
+    return F.coalesce(is_open & ~json_valid, F.lit(False))
 
 
 def with_flags(rows: DataFrame) -> DataFrame:
-    """Add ``hallucinated`` (items) and ``truncated`` per answer."""
-    return rows.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated()})
+    """Add ``hallucinated`` (items) and ``truncated`` per answer; uses ``json_valid`` where known."""
+    known = F.col("json_valid") if "json_valid" in rows.columns else None
+    return rows.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated(json_valid=known)})
 
 
 def document_errors() -> dict[tuple[str, str], Column]:

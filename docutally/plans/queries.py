@@ -387,13 +387,10 @@ def hash_split(spark, d):
 @query
 def build_counters(spark, d):
     # Two answers per document are two attempts at the same text.
-    attempt = F.col("doc_id") * 2 + F.when(F.col("model") == "small", 1).otherwise(0)
-    attempts = _recovered(spark, d, ("large", "small")).withColumns(
-        {"attempt": attempt, "passed": _passed(), "failed": is_blank("raw_output")}
+    attempts = _recovered(spark, d, ("large", "small")).select(
+        "raw_text", _passed().alias("passed"), is_blank("raw_output").alias("failed")
     )
-    attempts = attempts.select("attempt", "raw_text", "passed", "failed")
-    statuses = dataset.attempt_status(attempts, "raw_text", "attempt", F.col("failed"), F.col("passed"))
-    return dataset.build_counters(statuses)
+    return dataset.build_counters(attempts, "raw_text", F.col("failed"), F.col("passed"))
 
 
 # --- dataset profile -----------------------------------------------------------------
@@ -451,7 +448,7 @@ def evaluated(spark, d, models=("large", "small")) -> DataFrame:
     """Model answers through both gates, as (truth, prediction) label structs."""
     checked = check_answers(views.model_output(spark, d, models))
     return checked.select(
-        *BY_MODEL, "dataset", "raw_text", "raw_output", "invoice", record_label("record").alias("prediction")
+        *BY_MODEL, "dataset", "raw_text", "raw_output", "json_valid", "invoice", record_label("record").alias("prediction")
     )
 
 

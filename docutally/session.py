@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Work per row is high here: let small shuffles keep one partition per core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
 }
 
 

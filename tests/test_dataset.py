@@ -109,6 +109,8 @@ def test_attempt_status_order(spark):
     statuses = dataset.attempt_status(rows, "raw_text", "id", F.col("failed"), F.col("passed"), history)
     found = {r["id"]: r["status"] for r in statuses.collect()}
     assert found == {1: "error", 2: "error", 3: "roundtrip", 4: "kept", 5: "duplicate", 6: "duplicate"}
+    counters = dataset.build_counters(rows, "raw_text", F.col("failed"), F.col("passed"), history)
+    assert {r["status"]: r["n"] for r in counters.collect()} == {"error": 2, "roundtrip": 1, "duplicate": 2, "kept": 1}
 
 
 def test_vendor_ties_go_to_the_first_seen(spark):
