@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docutally import fixed_values as fv
 from docutally.operators import dataset
 from docutally.operators.dataset import CENTS, add_totals, assemble_items, document_sums, omit, page_count
+from docutally.session import spread
 
 MODELS = ["openai/gpt-oss-120b", "openai/gpt-oss-20b", "invoice-small"]
 
@@ -59,8 +60,12 @@ def invoice_lines(spark: SparkSession, sf_dir: str, describe: bool = True) -> Da
     price = F.col("l_extendedprice").cast(CENTS)
     quantity = (F.col("l_quantity") / 2).cast("decimal(10,1)")
     flat = (F.col("l_partkey") + F.col("l_suppkey")) % 20 < 7
-    lines = table(spark, sf_dir, "lineitem").select(
+    raw = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("line_id"),
+    )
+    lines = spread(raw, "l_orderkey").select(
+        "line_id",
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_id"),
