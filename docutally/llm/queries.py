@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from docutally.llm import secrets
+from docutally.llm import hilbert, maxscore, minhash, secrets
 
 REGISTRY = {
+    "op5_maxscore": maxscore.op5_maxscore,
     "op7_secrets": secrets.op7_secrets,
+    "op8_hilbert": hilbert.op8_hilbert,
+    "op9_minhash": minhash.op9_minhash,
 }
 SQL = {
+    "op5_maxscore": maxscore.OP5_SQL,
     "op7_secrets": secrets.OP7_SQL,
 }
