@@ -40,3 +40,28 @@ def text_or_empty(column: str) -> Column:
 def worker_cache() -> dict:
     """Objects kept for the life of a Python worker, such as loaded tokenizers."""
     return vars(sys.modules.setdefault("_docutally_worker", types.ModuleType("_docutally_worker")))
+
+
+def packed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with the column ``text`` replaced by its compressed UTF-8 bytes, for cheap shuffles."""
+    schema = rows.drop(text).schema.add("packed", "binary")
+    names = [f.name for f in schema]
+
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data = pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), data], names=names)
+
+    return rows.mapInArrow(pack, schema)
+
+
+def unpacked(column) -> list[bytes]:
+    """The bytes of an Arrow column made by :func:`packed`."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(b) for b in column.to_pylist()]

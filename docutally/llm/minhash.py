@@ -70,7 +70,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n, set_a, set_b, bands, sig): size and 128-bit hash of the set, band keys, 16-bit minima."""
-    bands = np.repeat(np.arange(BANDS, dtype=np.uint64), 1)
+    bands = np.arange(BANDS, dtype=np.uint64)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def sketch(batches):
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     tried = edges = None
     joined = shared.withColumn("component", F.col("id"))
-    entries_left = shared.count()
+    entries = entries_left = shared.count()
     while entries_left:
         # Heads: per bucket, the heaviest class outside the components that earlier pivots have taken in.
         first = joined.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("key"), "component")).alias("top"))
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         per = joined.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         size = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         entries_left, cross = size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
-        if entries_left and cross <= PAIRS_PER_ENTRY * max(entries_left, shared_rows(drawn)):
+        if entries_left and cross <= PAIRS_PER_ENTRY * entries:
             other = joined.select(F.col("id").alias("b"), "bucket", F.col("component").alias("other"))
             pairs = joined.join(other, "bucket").filter((F.col("id") > F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b").distinct()
             pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -190,10 +190,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def shared_rows(drawn: DataFrame) -> int:
-    return drawn.count()
-
-
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     from docutally.llm.common import prepare, table
 
