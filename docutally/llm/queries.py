@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from docutally.llm import hilbert, maxscore, minhash, secrets
+from docutally.llm import hilbert, maxscore, minhash, secrets, substrings, suffixtree, toxicity
 
 REGISTRY = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_suffix_array": substrings.op4_suffix_array,
     "op5_maxscore": maxscore.op5_maxscore,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": hilbert.op8_hilbert,
     "op9_minhash": minhash.op9_minhash,
+    "op10_suffix_tree": suffixtree.op10_suffix_tree,
 }
 SQL = {
     "op5_maxscore": maxscore.OP5_SQL,

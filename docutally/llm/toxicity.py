@@ -1,6 +1,6 @@
 """Toxicity scores by weak supervision.
 
-Method: voters are mined from labelled rows: words (lexicon voters) and word beginnings of 4 to 6
+Method: voters are mined from labelled rows: words (lexicon voters) and word beginnings of 3 to 6
 letters (pattern voters) that stand in toxic documents far more often than in others. A voter says toxic
 or abstains; one more voter says clean where no other speaks. A generative label model is fitted to the votes by
 expectation maximisation: how often each voter speaks on toxic and on clean documents (its accuracy) and
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from docutally.llm.common import text_or_empty
 MAX_ROWS = 20_000
 MAX_TERMS = 4_000
 MAX_VOTERS = 120
-BEGINNINGS = (4, 5, 6)
+#: Terms are kept that stand so many times as often in toxic documents as in others.
+SURE = 25
+BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,7 +74,7 @@ def _mined(sample: DataFrame) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((0, 2))
     total = sample.mapInArrow(count, "term string, hits long, docs long").groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("docs").alias("docs"))
     hit_rate, other_rate = (F.col("hits") + 0.5) / (positive + 1), (F.col("docs") - F.col("hits") + 0.5) / (n - positive + 1)
-    strong = total.filter((F.col("hits") >= max(3, positive // 500)) & (hit_rate >= 5 * other_rate)).withColumn("gain", F.col("hits") * F.log(hit_rate / other_rate))
+    strong = total.filter((F.col("hits") >= max(5, positive // 200)) & (hit_rate >= SURE * other_rate)).withColumn("gain", F.col("hits") * F.log(hit_rate / other_rate))
     top = strong.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).select("term", hit_rate.alias("hit"), other_rate.alias("other")).collect()
     return [r.term for r in top], np.array([[r.hit, r.other] for r in top]).reshape(-1, 2)
 
@@ -79,16 +82,18 @@ def _mined(sample: DataFrame) -> tuple[list[str], np.ndarray]:
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, accuracy table (rate on toxic, rate on clean) and pair correlations.
 
-    ``votes`` is 0/1 (rows x voters), ``start`` a first guess of the rates. Expectation: posterior by the
-    rates, every voter's log-odds divided by one plus its correlations with others given the class. Maximisation:
+    ``votes`` is 0/1 (rows x voters), ``start`` a first guess of the rates. A voter that abstains says
+    nothing, so that voters of one language don't count against documents in another. Expectation: posterior by the
+    rates, the log-odds of a voter that speaks divided by one plus its correlations (given the class) with
+    the others that speak. Maximisation:
     rates and correlations under the posterior.
     """
-    rates, weight = start.clip(1e-4, 1 - 1e-4), np.ones(votes.shape[1])
+    rates = start.clip(1e-4, 1 - 1e-4)
+    shared = np.ones_like(votes)
     posterior = correlation = None
     for _ in range(rounds):
-        on = np.log(rates[:, 0] / rates[:, 1]) * weight
-        off = np.log((1 - rates[:, 0]) / (1 - rates[:, 1])) * weight
-        logit = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
+        on = np.log(rates[:, 0] / rates[:, 1])
+        logit = np.log(prior / (1 - prior)) + (votes / shared) @ on
         posterior = 1 / (1 + np.exp(-logit.clip(-30, 30)))
         both = np.stack([posterior, 1 - posterior], axis=1)
         mass = both.sum(axis=0) + 1
@@ -97,11 +102,11 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
         spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
         correlation = (rest.T @ rest) / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1))
+        shared = 1 + votes @ np.where(correlation > 0.1, correlation, 0)
     return posterior, rates, correlation
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, steps: int = 400, ridge: float = 1e-4) -> np.ndarray:
+def logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, steps: int = 600, ridge: float = 1e-5) -> np.ndarray:
     """Weights (the last is the constant) of a logistic regression on sparse 0/1 features and soft targets."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = -2
@@ -116,15 +121,30 @@ def logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: i
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
-    """(weight of each term, constant), learned from labelled rows that are not held out."""
+@dataclass(frozen=True)
+class Model:
+    """Weights of the terms; the sure voters and what any of them adds; the constant."""
+
+    weights: dict[str, float]
+    sure: frozenset[str]
+    any_sure: float
+    constant: float
+
+    def logit(self, text: str) -> float:
+        found = terms_of(text)
+        total = self.constant + sum(sorted(self.weights[t] for t in found if t in self.weights))
+        return total if self.sure.isdisjoint(found) else total + self.any_sure
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The classifier, learned from labelled rows that are not held out."""
     marked = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
     sample = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     names, rates = _mined(sample)
     if not names:
-        return {}, -30.0
+        return Model({}, frozenset(), 0.0, -30.0)
     place = {t: i for i, t in enumerate(names)}
 
     def hits(batches):
@@ -146,19 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = float(np.mean(got.column("toxic").to_numpy()))
     quiet = np.array([[0.1, 0.9]])  # the clean voter's first guess
     posterior, _, _ = label_model(votes, np.concatenate([rates[:voters], quiet]), prior)
-    weights = logistic(rows, columns, posterior, len(names))
-    return dict(zip(names, weights[:-1].tolist())), float(weights[-1])
+    # One more feature: that any voter has spoken at all.
+    sure = np.arange(len(names)) < voters
+    any_sure = np.unique(rows[sure[columns]])
+    weights = logistic(np.append(rows, any_sure), np.append(columns, np.full(len(any_sure), len(names))), posterior, len(names) + 1)
+    return Model(dict(zip(names, weights.tolist())), frozenset(t for t, s in zip(names, sure) if s), float(weights[-2]), float(weights[-1]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
     """Rows (id_col, *keep, score) with a score from 0 to 1 for every row of ``docs``."""
-    weights, constant = train(docs, labels, id_col, text_col)
+    model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.struct(*keep).alias("_keep") if keep else F.lit(0).alias("_keep"), text_or_empty(text_col).alias("_text"))
     schema = rows.drop("_text").schema.add("score", "double")
 
     def score(batches):
         for batch in batches:
-            out = [constant + sum(sorted(weights[t] for t in terms_of(text) if t in weights)) for text in batch.column("_text").to_pylist()]
+            out = [model.logit(text) for text in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_keep"), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))), pa.float64())], names=["_id", "_keep", "score"])
 
     return rows.mapInArrow(score, schema).select(F.col("_id").alias(id_col), *[F.col("_keep")[c].alias(c) for c in keep], "score")
