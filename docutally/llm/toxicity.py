@@ -162,12 +162,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes = np.zeros((len(lists), voters + 1))
     own = columns < voters
     votes[rows[own], columns[own]] = 1
+    toxic = got.column("toxic").to_numpy()
+    silent = np.zeros(voters, dtype=bool)
+    for _ in range(3):
+        # A voter that is mostly wrong where it speaks alone only repeats others: it is silenced.
+        alone = votes[:, :-1] * (votes[:, :-1].sum(axis=1) == 1)[:, None]
+        wrong = (alone.sum(axis=0) >= 3) & (toxic @ alone < 0.5 * alone.sum(axis=0))
+        silent |= wrong
+        votes[:, :-1][:, wrong] = 0
     votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
-    prior = float(np.mean(got.column("toxic").to_numpy()))
+    prior = float(np.mean(toxic))
     quiet = np.array([[0.1, 0.9]])  # the clean voter's first guess
     posterior, _, _ = label_model(votes, np.concatenate([rates[:voters], quiet]), prior)
     # One more feature: that any voter has spoken at all.
-    sure = np.arange(len(names)) < voters
+    sure = np.append(~silent, np.zeros(len(names) - voters, dtype=bool))
     any_sure = np.unique(rows[sure[columns]])
     weights = logistic(np.append(rows, any_sure), np.append(columns, np.full(len(any_sure), len(names))), posterior, len(names) + 1)
     return Model(dict(zip(names, weights.tolist())), frozenset(t for t, s in zip(names, sure) if s), float(weights[-2]), float(weights[-1]))
