@@ -2,18 +2,21 @@
 
 Method: a document is its set of 5-word shingles (64-bit hashes). Texts with equal sets are folded to
 one class first. ``BANDS * ROWS`` universal hash functions give the minima of each class; every band of
-``ROWS`` minima is a bucket key. In each bucket one class is the pivot and all others are
-compared with it; pivots are the classes whose bucket keys are the commonest, so that the original of many edited
-copies is found at once. After linking, buckets that still hold several components go on: with further
-pivots, or with all pairs across components once these are few in number. So no pair of a bucket is
-given up, and no group is ever paired with itself as a whole. A pair is first checked on 16-bit
-signatures (kept from an estimate of ``threshold - MARGIN`` on), then on the full sets.
-Components come from alternating large-star and small-star.
+``ROWS`` minima is a bucket key. Pairs of small buckets are checked on 16-bit signatures (kept from an
+estimate of ``threshold - MARGIN`` on), then on the full sets. Components come from alternating large-star and small-star.
 
-With 24 bands of 5 rows a pair at similarity 0.85 shares a bucket with probability 1 - 8e-7.
+Large buckets are never paired with themselves. One class, the one whose bucket keys are the commonest, is the pivot,
+and all others are compared with it. Two classes linked to the pivot are connected already. For any other pair,
+only differences from the pivot matter: two sets are as far apart as their differences are, and a class that is
+too far from the pivot must share part of its difference with every class it is linked to. So the group is split
+into smaller buckets by the elements of the differences (own shingles first, then missing ones; of the partner
+only so many that one of the required overlap must be among them), and the step repeats. No pair that can be a link is given up.
 
-Scale: sketches are a few hundred bytes per document; texts move once to those documents that share
-a bucket at all, then only with candidate pairs.
+With 16 bands of 4 rows a pair at similarity 0.85 shares a bucket with probability 1 - 7e-6, one at 0.9 with
+1 - 4e-8.
+
+Scale: sketches are a few hundred bytes per document; texts move once, compressed, to those documents that share
+a bucket at all, then only with candidate pairs. Joins are sort-merge joins at every size.
 
 Defined results: null text counts as empty; texts without a word have an empty set and are linked with
 nothing; under 5 words the whole sequence is the one shingle; rows with a null id are linked with nothing,
@@ -23,21 +26,23 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docutally.llm import hashing as H
-from docutally.llm.common import written
+from docutally.llm.common import packed, unpacked, written
 from docutally.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 16, 4
 #: Four standard deviations of the signature's estimate at the threshold and above.
-MARGIN = 0.15
-#: Pairs across components are emitted at once when there are at most so many per bucket entry.
-PAIRS_PER_ENTRY = 4
+MARGIN = 0.18
+#: A bucket with at most so many pairs per member is paired at once.
+PAIRS_PER_MEMBER = 64
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -113,80 +118,108 @@ def _agreement(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have ``100 * intersection >= percent * union``."""
+def _with_sets(pairs: DataFrame, texts: DataFrame, each, schema: str) -> DataFrame:
+    """``each(a, b, set of a, set of b)`` over all pairs; it returns a row of ``schema`` or None."""
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    joined = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def confirm(batches):
+    def run(batches):
         for batch in batches:
             # A text may stand in many pairs of a batch: its set is made once.
             both = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
-            names = {t: i for i, t in enumerate(dict.fromkeys([*both[0], *both[1]]))}
-            sets = shingle_sets(list(names))
-            keep = []
-            for s, t in zip(*both):
-                x, y = sets[names[s]], sets[names[t]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            every = list(dict.fromkeys([*both[0], *both[1]]))
+            sets = dict(zip(every, shingle_sets([t.decode("utf-8", "surrogatepass") for t in unpacked(pa.array(every, pa.binary()))])))
+            rows = [each(a, b, sets[s], sets[t]) for a, b, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *both)]
+            rows = [r for r in rows if r is not None]
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))), schema=pa.schema([(n, KINDS[f.split()[1]]) for n, f in zip(names, schema.split(", "))]))
+
+    return joined.mapInArrow(run, schema)
+
+
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have ``100 * intersection >= percent * union``."""
+
+    def confirm(a, b, x, y):
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return (a, b) if common and 100 * common >= percent * (len(x) + len(y) - common) else None
+
+    return _with_sets(pairs, texts, confirm, "a long, b long")
+
+
+def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Every (pivot a, member b) with the verdict and the member's difference from the pivot.
+
+    ``own`` is what an unlinked member may share with a partner, ``prefix`` what a partner offers. Two sets
+    x, y at distance at most ``t = (100 - percent) * (|x| + |y|) / (100 + percent)`` (elements in one only)
+    whose differences from the pivot are X, Y share at least (|X| + |Y| - t) / 2 of them. With x not linked
+    to the pivot P this is over (|Y| + (100 - percent) * (|P| - |y|) / (100 + percent)) / 2.
+    """
+    share = (100 - percent) / (100 + percent)
+
+    def star(a, b, pivot, member):
+        added = np.setdiff1d(member, pivot, assume_unique=True)
+        gone = np.setdiff1d(pivot, member, assume_unique=True)
+        total = len(added) + len(gone)
+        linked = len(added) < len(member) and total * (100 + percent) <= (100 - percent) * (len(member) + len(pivot))
+        difference = np.concatenate([np.sort(added), np.sort(H.mix(gone ^ np.uint64(0xD1B54A32D192ED03)))]).view(np.int64)
+        shared = int(np.floor((total + share * (len(pivot) - len(member))) / 2 + 1e-9)) + 1
+        prefix = max(0, total - max(shared - 1, 1) + 1)
+        # Far from the pivot, a partner cannot be near it: both sides' prefixes meet.
+        far = total > 2.2 * share * (len(member) + len(pivot)) / percent * 100
+        own = 0 if linked else min(total, prefix) if far else total
+        return a, b, linked, difference[: max(own, prefix)].tolist(), own, prefix
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one per row of ``docs``."""
     drawn = written(sketches(docs, id_col, text_col), "sketches")
     sets = ("n", "set_a", "set_b")
     classes = written(drawn.filter("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
-    reps = drawn.join(classes.select(F.col("rep").alias("id"), *sets), ["id", *sets])
-    entries = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    # Buckets of several classes, with what each class gathers over all its buckets.
-    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = written(entries.join(sizes, ["band", "key"]).select("id", F.xxhash64("band", "key").alias("bucket"), "size"), "buckets")
-    rank = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    shared = written(shared.join(rank, "id").select("id", "bucket", "weight"), "buckets")
-    wanted = rank.select("id")
+    reps = drawn.join(classes.select(F.col("rep").alias("id"), *sets).hint("merge"), ["id", *sets])
+    entries = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(entries.join(sizes.hint("merge"), "bucket"), "buckets")
+    weights = written(shared.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    wanted = weights.select("id").hint("merge")
     sigs = reps.join(wanted, "id", "left_semi").select("id", "sig").dropDuplicates(["id", "sig"])
-    texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id"), "texts")
-
-    tried = edges = None
-    joined = shared.withColumn("component", F.col("id"))
-    entries = entries_left = shared.count()
-    while entries_left:
-        # Heads: per bucket, the heaviest class outside the components that earlier pivots have taken in.
-        first = joined.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("key"), "component")).alias("top"))
-        heads = first.select("bucket", (-F.col("top.key")).alias("pivot"), F.col("top.component").alias("own"))
-        pairs = joined.join(heads, "bucket").filter(F.col("component") != F.col("own")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        linked = written(_confirmed(_agreement(pairs, sigs, percent / 100 - MARGIN), texts, percent).distinct(), "links")
-        edges = linked if edges is None else edges.union(linked)
-        found = written(components(edges), "components")
-        # What is left: buckets with several components. A pivot has met all others, so it leaves its buckets.
-        placed = joined.join(heads, "bucket").filter(F.col("id") != F.col("pivot")).select("id", "bucket", "weight")
-        placed = placed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        joined = written(placed.join(several.select("bucket"), "bucket").select("id", "bucket", "weight", "component"), "buckets")
-        per = joined.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        size = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        entries_left, cross = size.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
-        if entries_left and cross <= PAIRS_PER_ENTRY * entries:
-            other = joined.select(F.col("id").alias("b"), "bucket", F.col("component").alias("other"))
-            pairs = joined.join(other, "bucket").filter((F.col("id") > F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b").distinct()
-            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            linked = _confirmed(_agreement(pairs, sigs, percent / 100 - MARGIN), texts, percent).distinct()
-            found = written(components(edges.union(linked)), "components")
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(packed(texts).join(wanted, "id"), "texts")
+
+    pairs, links = [], []
+    members = shared.join(weights.hint("merge"), "id").select("id", "bucket", "weight", F.lit(True).alias("open"), F.lit(True).alias("offered"))
+    while True:
+        count = members.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").cast("double").alias("opens"), F.count_if("offered").alias("offers")).filter("size > 1 AND opens > 0 AND offers > 0")
+        count = count.select("bucket", (F.col("opens") * F.col("offers") <= pairs_per_member * F.col("size")).alias("small"))
+        members = written(members.join(count.hint("merge"), "bucket"), "buckets")
+        few = members.filter("small")
+        met = few.filter("open").select(F.col("id").alias("x"), "bucket").join(few.filter("offered").select(F.col("id").alias("y"), "bucket").hint("merge"), "bucket")
+        pairs.append(met.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+        large = members.filter("NOT small")
+        if large.isEmpty():
             break
-    else:
-        if edges is None:
-            found = drawn.sparkSession.createDataFrame([], "node long, component long")
-    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(*sets, "rep", F.coalesce("component", "rep").alias("component_id"))
-    out = drawn.select("id", *sets).join(of_class.withColumnRenamed("component_id", "found"), list(sets), "left")
+        # The pivot is an open member, the one with the commonest bucket keys.
+        top = large.filter("open").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
+        group = large.join(top.select("bucket", (-F.col("top.minus")).alias("a")).hint("merge"), "bucket").filter("id <> a")
+        star = written(_starred(group.select("a", F.col("id").alias("b")).distinct(), texts, percent), "star")
+        links.append(star.filter("linked").select("a", "b"))
+        spots = star.select("a", F.col("b").alias("id"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
+        members = spots.join(weights.hint("merge"), "id").select("id", F.xxhash64("a", "element").alias("bucket"), "weight", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
+    every = reduce(DataFrame.union, pairs).distinct()
+    checked = _confirmed(_agreement(every, sigs, percent / 100 - MARGIN), texts, percent)
+    found = components(reduce(DataFrame.union, links, checked))
+    of_class = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("found"))
+    out = drawn.select("id", *sets).join(of_class.hint("merge"), list(sets), "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("found")).otherwise(F.col("id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
