@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docutally.llm import hilbert, maxscore, minhash, secrets, substrings, suffixtree, toxicity
+from docutally.llm import edits, hilbert, maxscore, minhash, packing, secrets, sentencepieces, substrings, suffixtree, toxicity
 
 REGISTRY = {
+    "op1_packing": packing.op1_packing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_edit_counts": edits.op3_edit_counts,
     "op4_suffix_array": substrings.op4_suffix_array,
     "op5_maxscore": maxscore.op5_maxscore,
+    "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": hilbert.op8_hilbert,
     "op9_minhash": minhash.op9_minhash,
