@@ -29,9 +29,22 @@ def norm_text(text) -> Column:
 
 
 def norm_number(text) -> Column:
-    """Comparable number: ``$1,250.00``, ``1250.00`` and ``1250`` become equal."""
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast(MONEY)
+    """Comparable number: ``$1,250.00``, ``1250.00``, ``1250`` and ``1.25e3`` become equal.
 
+    The text as it stands comes first; signs and words around a number are dropped only where that is none.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    bare = F.when(~text.rlike(r"\d[eE][+-]?\d"), F.regexp_replace(text, r"[^0-9.\-]", ""))
+    return F.coalesce(F.trim(text).try_cast(MONEY), bare.try_cast(MONEY))
+
+
+def same_number(left, right) -> Column:
+    """Whether two amounts agree: both absent, or equal as numbers.
+
+    Text that is no number, or one that cannot be held, equals only the same text.
+    """
+    readable = norm_number(left).isNotNull() & norm_number(right).isNotNull()
+    return F.when(readable, norm_number(left) == norm_number(right)).otherwise(plain(left).eqNullSafe(plain(right)))
 
 def plain(text) -> Column:
     """Null for missing or blank text, otherwise the text without outer white space."""

@@ -9,10 +9,6 @@ from docutally import fixed_values as fv
 from docutally.functions.text import hash_draw, hash_fraction, is_blank, sha256_mod_10000
 from docutally.schemas import MONEY
 
-# An invoice with more line items than this is carried on several pages, each a record of
-# its own, so that no array and no task has to hold an unbounded group.
-ITEMS_PER_PAGE = 50_000
-
 CENTS = "decimal(18,2)"
 
 
@@ -49,40 +45,16 @@ def omit(condition: Column, value) -> Column:
 
 
 # --- nested assembly -----------------------------------------------------------------
-def page_count(n_items, per_page: int = ITEMS_PER_PAGE) -> Column:
-    n_items = F.col(n_items) if isinstance(n_items, str) else n_items
-    return F.greatest(F.ceil(n_items / F.lit(per_page)), F.lit(1)).cast("int")
-
-
-def assemble_items(
-    lines: DataFrame,
-    sums: DataFrame,
-    order: list[str],
-    item: Column,
-    line_id: str,
-    key: str = "doc_id",
-    per_page: int = ITEMS_PER_PAGE,
-) -> DataFrame:
-    """Line rows to one ordered ``line_items`` array per (document, page).
+def assemble_items(lines: DataFrame, order: list[str], item: Column, key: str = "doc_id") -> DataFrame:
+    """Line rows to one ordered ``line_items`` array per document.
 
-    A document has one page unless it has more than ``per_page`` lines; then its lines are
-    spread over pages by ``line_id``, a number that differs between lines, even equal ones,
-    and stays the same when a task is run again. At most (number of lines / ``per_page``)
-    documents are that long, which bounds the broadcast list of them.
+    The list of a document is part of its record, whatever its length; work on single lines stays on
+    long rows.
     """
-    long_docs = sums.where(F.col("n_items") > per_page).select(
-        F.col(key).alias("_key"), page_count("n_items", per_page).alias("_pages")
-    )
-    spread = F.pmod(F.col(line_id), F.col("_pages"))
-    paged = lines.join(F.broadcast(long_docs), F.col(key) == F.col("_key"), "left").select(
-        key,
-        F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(spread).cast("int").alias("page_no"),
-        F.struct(*order, item.alias("item")).alias("line"),
-    )
     # Collecting shrinks nothing before the shuffle, so rows are moved first and collected once.
-    moved = paged.repartition(key, "page_no")
-    lists = moved.groupBy(key, "page_no").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return lists.select(key, "page_no", F.col("lines.item").alias("line_items"))
+    moved = lines.select(key, F.struct(*order, item.alias("item")).alias("line")).repartition(key)
+    lists = moved.groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return lists.select(key, F.col("lines.item").alias("line_items"))
 
 
 # --- text rendering ------------------------------------------------------------------
@@ -261,9 +233,7 @@ def drop_duplicates(rows: DataFrame, text: str, order: str, history: DataFrame |
     kept = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     if history is None:
         return kept
-    seen = history.select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    same = (F.xxhash64(kept[text]) == seen["_hash"]) & (kept[text] == seen["_text"])
-    return kept.join(seen, same, "left_anti")
+    return _unknown(kept, text, history)
 
 
 def is_test_row(text, test_split: float = fv.TEST_SPLIT) -> Column:
@@ -298,8 +268,10 @@ def _unknown(texts: DataFrame, text: str, history: DataFrame | None) -> DataFram
     """Rows of distinct texts that ``history`` does not hold."""
     if history is None:
         return texts
-    seen = history.select(F.col(text).alias("_text"))
-    return texts.join(seen, F.col(text) == F.col("_text"), "left_anti")
+    # Copies in the history are folded first: the side that an anti join cannot split stays small.
+    seen = history.select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).distinct()
+    same = (F.xxhash64(texts[text]) == seen["_hash"]) & (texts[text] == seen["_text"])
+    return texts.join(seen, same, "left_anti")
 
 
 def build_counters(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
-from docutally.functions.text import norm_number, norm_text
+from docutally.functions.text import norm_number, norm_text, same_number
 from docutally.operators.validate import strict_json
 from docutally.schemas import DOCUMENT_FIELDS
 
@@ -48,13 +48,19 @@ def with_matches(rows: DataFrame, truth: str = "invoice", prediction: str = "pre
     parsed = F.col(prediction).isNotNull()
     right = F.struct(
         *[
-            (parsed & F.col(f"truth_norm.{f}").eqNullSafe(F.col(f"prediction_norm.{f}"))).alias(f)
+            (parsed & _agrees(f, truth, prediction)).alias(f)
             for f in DOCUMENT_FIELDS
         ]
     )
     return normed.withColumn("right", right)
 
 
+def _agrees(field: str, truth: str, prediction: str) -> Column:
+    if field in AMOUNTS:
+        return same_number(F.col(truth)[field], F.col(prediction)[field])
+    return F.col(f"truth_norm.{field}").eqNullSafe(F.col(f"prediction_norm.{field}"))
+
+
 def _percent(part: Column, whole: Column) -> Column:
     return F.round(part * 100.0 / F.nullif(whole, F.lit(0)), 2)
 

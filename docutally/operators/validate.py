@@ -79,17 +79,22 @@ def _amount_text(field: Column, kind: Column) -> Column:
 
 def _date(field: Column, kind: Column) -> Column:
     text = _text(field)
-    day = F.when(text.rlike(DATE), F.substring(text, 1, 10).try_cast("date"))
-    stamp = F.when(text.rlike(r"^[+-]?\d+$") | ((kind != "STRING") & text.rlike(r"^-?\d+\.0$")), text)
-    number = F.regexp_replace(stamp, r"\.0$", "").try_cast("bigint")
-    per_day = F.when(F.abs(number) > MILLIS_FROM, F.lit(86_400_000)).otherwise(F.lit(86_400))
-    days = F.when(number % per_day == 0, F.floor(number / per_day).cast("int"))
+    day = F.when(text.rlike(DATE) & ~text.startswith("0000"), F.substring(text, 1, 10).try_cast("date"))
+    whole = F.regexp_replace(text, r"\.0*$", "").try_cast("bigint")
+    # Spellings with a fraction or an exponent count when they are whole numbers.
+    real = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    number = F.coalesce(F.when(text.rlike(r"^[+-]?\d+(\.0*)?$"), whole), F.when(real == F.floor(real), real.try_cast("bigint")))
+    millis = (number > MILLIS_FROM) | (number < -MILLIS_FROM)
+    per_day = F.when(millis, F.lit(86_400_000)).otherwise(F.lit(86_400))
+    days = F.when(number % per_day == 0, F.floor(number / per_day).try_cast("int"))
     epoch = F.when((days >= -719162) & (days <= 2932896), F.date_add(F.lit("1970-01-01").cast("date"), days))
     return F.when(kind == "STRING", F.coalesce(day, epoch)).when(_is_number(kind), epoch)
 
 
 def _quantity(field: Column, kind: Column) -> Column:
-    text = F.replace(trim_all(_text(field)), F.lit("_"), F.lit(""))
+    stated = trim_all(_text(field))
+    # Underscores stand between two digits only, one at a time.
+    text = F.when(~stated.rlike(r"(^|[^0-9])_|_([^0-9]|$)"), F.replace(stated, F.lit("_"), F.lit("")))
     return (
         F.when(_is_number(kind), F.try_variant_get(field, "$", "double"))
         .when(kind == "STRING", F.when(text.rlike(FLOAT), text.try_cast("double")))
@@ -120,7 +125,7 @@ def _amount_code(kind: Column, text: Column, required: bool = False) -> Column:
 
 
 def _negative(text: Column) -> Column:
-    return text.startswith("-") & (text.try_cast("double") < 0)
+    return text.rlike(r"^-[^eE]*[1-9]")
 
 
 def _amount_fine(kind: Column, text: Column, required: bool = False) -> Column:

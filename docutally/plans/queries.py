@@ -15,13 +15,13 @@ from docutally.operators.extract import (
 from docutally.operators.prep import extraction_prompt, prompt_document, split_blank, training_example
 from docutally.operators.validate import canonical_json, check_answers, record_json, record_label, strict_json
 from docutally.plans import views
-from docutally.session import configure, fresh_path, spread
+from docutally.session import configure, fresh_path
 from docutally.sources import jsonl
 from docutally.sources import requestlog as log_files
 from docutally.streaming import stream
 
-DOC = ["doc_id", "page_no"]
-BY_MODEL = ["model", "doc_id", "page_no"]
+DOC = ["doc_id"]
+BY_MODEL = ["model", "doc_id"]
 LATENCY = 0.01
 PRICED_AS = {"large": "openai/gpt-oss-120b", "small": "invoice-small"}
 REGISTRY: dict = {}
@@ -318,7 +318,7 @@ def item_table(spark, d):
 @query
 def generate_invoices(spark, d):
     ids = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    return dataset.generate_invoices(spread(ids)).select("doc_id", _label_json().alias("label"))
+    return dataset.generate_invoices(ids).select("doc_id", _label_json().alias("label"))
 
 
 @query
@@ -494,7 +494,7 @@ def complete_item(spark, d):
 
 @query
 def missing_extra_items(spark, d):
-    return evaluate.missing_extra_items(evaluated(spark, d), BY_MODEL).drop("page_no")
+    return evaluate.missing_extra_items(evaluated(spark, d), BY_MODEL)
 
 
 @query
@@ -502,7 +502,7 @@ def error_taxonomy(spark, d):
     keys = BY_MODEL
     labels = views.table(spark, d, "labels").where("quality = 0").select(
         F.explode(F.array(*[F.lit(m) for m in views.ANSWERING])).alias("model"),
-        "doc_id", F.lit(0).alias("page_no"),
+        "doc_id",
         F.lit("annotation").alias("level"), F.lit("ANNOTATION_AMBIGUITY").alias("code"),
     )
     return evaluate.error_taxonomy(evaluate.example_errors(evaluated(spark, d), keys, labels), ["model"])
@@ -552,7 +552,7 @@ def run_artifacts(spark, d):
 def pack_training_rows(spark, d):
     completion = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", "lang", "source"))
     rows = views.table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), completion.alias("completion"))
-    packed = training.pack_training_rows(spread(rows))
+    packed = training.pack_training_rows(rows)
     kept = F.filter("labels", lambda x: x != fv.MASKED_LABEL)
     return packed.select(
         "doc_id",
@@ -591,13 +591,9 @@ def stream_extract(spark, d):
 def stream_idempotent(spark, d):
     log = fresh_path(spark, "log")
     events = _table_stream(spark, d, "events")
-    stream.stream_records(views.request_log_from(events), log, fresh_path(spark, "state"))
     # The same files under a new checkpoint arrive as a retry of every job.
-    stream.run_available(
-        views.request_log_from(events),
-        lambda batch, n: stream.record_batch(batch, log, n + 1_000_000),
-        fresh_path(spark, "state"),
-    )
+    for _ in range(2):
+        stream.stream_records(views.request_log_from(events), log, fresh_path(spark, "state"))
     return stream.read_batches(spark, log).select("job_id", "model_name", "success", "estimated_cost_usd")
 
 
@@ -605,4 +601,4 @@ def stream_idempotent(spark, d):
 def stream_stats(spark, d):
     path = fresh_path(spark, "stats")
     stream.stream_stats(views.request_log_from(_table_stream(spark, d, "events")), path, fresh_path(spark, "state"))
-    return spark.read.parquet(path)
+    return stream.read_stats(spark, path)

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
 from docutally.operators import dataset
-from docutally.operators.dataset import CENTS, add_totals, assemble_items, document_sums, omit, page_count
-from docutally.session import spread
+from docutally.operators.dataset import CENTS, add_totals, assemble_items, document_sums, omit
 
 MODELS = ["openai/gpt-oss-120b", "openai/gpt-oss-20b", "invoice-small"]
 
@@ -61,11 +60,9 @@ def invoice_lines(spark: SparkSession, sf_dir: str, describe: bool = True) -> Da
     quantity = (F.col("l_quantity") / 2).cast("decimal(10,1)")
     flat = (F.col("l_partkey") + F.col("l_suppkey")) % 20 < 7
     raw = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("line_id"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
     )
-    lines = spread(raw, "l_orderkey").select(
-        "line_id",
+    lines = raw.select(
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_id"),
@@ -130,24 +127,12 @@ def item_struct() -> Column:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str, per_page: int = dataset.ITEMS_PER_PAGE) -> DataFrame:
-    """Label records: (doc_id, page_no, dataset, invoice) with ``invoice`` in its JSON form."""
-    sums = invoice_sums(spark, sf_dir)
-    lists = assemble_items(
-        invoice_lines(spark, sf_dir),
-        sums,
-        ["line_no", "part_id", "supplier_id", "total"],
-        item_struct(),
-        "line_id",
-        per_page=per_page,
-    )
-    pages = invoice_headers(spark, sf_dir, sums).withColumn(
-        "page_no", F.explode(F.sequence(F.lit(0), page_count("n_items", per_page) - 1))
-    )
-    full = pages.join(lists, ["doc_id", "page_no"], "left")
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label records: (doc_id, dataset, invoice) with ``invoice`` in its JSON form."""
+    lists = assemble_items(invoice_lines(spark, sf_dir), ["line_no", "part_id", "supplier_id", "total"], item_struct())
+    full = invoice_headers(spark, sf_dir).join(lists, "doc_id", "left")
     return full.select(
         "doc_id",
-        "page_no",
         "dataset",
         F.struct(
             "vendor_name",
@@ -208,7 +193,7 @@ def model_output(spark: SparkSession, sf_dir: str, models=("large",)) -> DataFra
     rows = pairs(spark, sf_dir).withColumn("_run", F.explode(runs))
     number = (F.col("doc_id") * F.col("_run.a") + F.col("_run.b")) % N_DEFECTS
     marked = rows.select(
-        "doc_id", "page_no", "dataset", "raw_text", "invoice",
+        "doc_id", "dataset", "raw_text", "invoice",
         F.col("_run.model").alias("model"),
         _pick(DEFECTS, number).alias("defect"),
     )

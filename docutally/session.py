@@ -50,13 +50,3 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under :func:`shared_dir` that no earlier call has returned."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows over at least as many partitions as there are cores, by ``keys`` where given.
-
-    For costly work per row on small files, which Spark reads in one or two tasks. A table
-    with enough partitions is returned as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docutally.operators.dataset import is_test_row
 from docutally.operators.prep import training_example
 from docutally.schemas import PAIR, TRAIN
+from docutally.session import fresh_path
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -26,7 +27,9 @@ def read_train(spark: SparkSession, path: str) -> DataFrame:
         message = F.lit(f"training row without {name}")
         return F.when(F.col(name).isNull(), F.raise_error(message)).otherwise(F.col(name)).alias(name)
 
-    return _read(spark, path, TRAIN).select(required("prompt"), required("completion"))
+    # Both checks hold even where a query later reads one column only.
+    whole = _read(spark, path, TRAIN).filter(required("prompt").isNotNull() & required("completion").isNotNull())
+    return whole.select(required("prompt"), required("completion"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +58,13 @@ def write_test(pairs: DataFrame, path: str) -> None:
 
 
 def write_splits(pairs: DataFrame, train_path: str, test_path: str, test_split: float) -> None:
-    """Split accumulated pairs by text hash and rewrite the train and test files."""
+    """Split accumulated pairs by text hash and rewrite the train and test files.
+
+    The pairs are made once: both files read what was written.
+    """
+    kept = fresh_path(pairs.sparkSession, "pairs")
+    write_pairs(pairs, kept)
+    pairs = read_pairs(pairs.sparkSession, kept)
     is_test = is_test_row("raw_text", test_split)
     write_train(pairs.where(~is_test), train_path)
     write_test(pairs.where(is_test), test_path)

@@ -4,10 +4,14 @@ import hashlib
 import json
 import math
 import tempfile
+from pathlib import Path
 
+import duckdb
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docutally import fixed_values as fv
 from docutally.functions.text import sha256_mod_10000
 from docutally.operators import dataset, profile, training
@@ -61,17 +65,25 @@ def test_split_bucket_equals_the_whole_hash(spark):
         assert is_test == (bucket < 5699)
 
 
-def test_long_documents_are_paged_without_losing_lines(spark):
-    whole = views.invoices(spark, SF)
-    paged = views.invoices(spark, SF, per_page=3)
-
-    def items(frame):
-        exploded = frame.select("doc_id", F.explode("invoice.line_items").alias("i")).select("doc_id", "i.*")
-        return sorted(map(str, exploded.collect()))
-
-    assert items(paged) == items(whole)
-    assert paged.agg(F.max("page_no")).first()[0] > 0
-    assert paged.select("doc_id").distinct().count() == whole.count()
+@pytest.mark.parametrize("name", ["valid_rate", "results_table", "missing_totals", "build_counters", "stream_extract", "outcomes"])
+def test_a_very_long_document_is_one_record(spark, long_order, name):
+    assert difference(entry.queries()[name](spark, long_order), long_order, entry.oracle_sql()[name]) is None
+
+
+@pytest.fixture(scope="module")
+def long_order(spark, tmp_path_factory):
+    """The smallest tables, with one order that has over 50,000 lines."""
+    folder = tmp_path_factory.mktemp("long")
+    for file in Path(SF).glob("*.parquet"):
+        (folder / file.name).symlink_to(file)
+    with duckdb.connect() as db:
+        (folder / "orders.parquet").unlink()
+        (folder / "lineitem.parquet").unlink()
+        db.sql(f"COPY (SELECT * FROM '{SF}/orders.parquet' ORDER BY o_orderkey LIMIT 40) TO '{folder}/orders.parquet'")
+        few = f"SELECT l.* FROM '{SF}/lineitem.parquet' l WHERE l_orderkey IN (SELECT o_orderkey FROM '{folder}/orders.parquet')"
+        copies = f"SELECT (SELECT max(o_orderkey) FROM '{folder}/orders.parquet') AS l_orderkey, l.* EXCLUDE (l_orderkey, l_linenumber), n::INT AS l_linenumber FROM (SELECT * FROM '{SF}/lineitem.parquet' LIMIT 10) l, range(100, 5200) t(n)"
+        db.sql(f"COPY (SELECT * FROM ({few}) UNION ALL BY NAME {copies}) TO '{folder}/lineitem.parquet'")
+    return str(folder)
 
 
 def test_generator_depends_on_key_and_seed_only(spark):

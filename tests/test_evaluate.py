@@ -36,6 +36,13 @@ def test_formatting_does_not_count_as_an_error(spark):
     assert [row[m] for m in evaluate.METRICS] == [100.0] * 5
 
 
+def test_exponents_and_unreadable_amounts(spark):
+    pairs = [("1e3", "1000", True), ("8888888888888.00", "9999999999999.00", False), ("8888888888888.00", "8888888888888.00", True), ("10.00", None, False), (None, "x", False)]
+    frame = rows(spark, *[("", label(sub=a), label(sub=b)) for a, b, _ in pairs])
+    found = evaluate.with_matches(frame).orderBy("doc_id").select("right.subtotal").collect()
+    assert [r["subtotal"] for r in found] == [right for _, _, right in pairs]
+
+
 def test_invalid_answers_count_as_all_wrong(spark):
     row = evaluate.results_table(rows(spark, ("", TABLE, TABLE), ("", RECEIPT, None)), KEYS).first()
     assert (row["valid_json"], row["field_accuracy"], row["item_recall"], row["item_precision"]) == (50.0, 50.0, 50.0, 100.0)

@@ -66,11 +66,50 @@ def test_replayed_batch_writes_the_same_records(spark):
     first = log(spark, record("a", 1), record("b", 2))
     second = log(spark, record("b", 3, "late"), record("c", 4))
     for batch_id, batch in [(0, first), (1, second), (1, second), (0, first)]:
-        stream.record_batch(batch, path, batch_id)
+        stream.record_batch(batch, path, "s", batch_id)
     rows = sorted((r["job_id"], r["model_name"], r["batch_id"]) for r in stream.read_batches(spark, path).collect())
     assert rows == [("a", "m", 0), ("b", "m", 0), ("c", "m", 1)]
 
 
+def test_new_checkpoint_keeps_earlier_records(spark):
+    path, inbox = tempfile.mkdtemp() + "/log", [tempfile.mkdtemp() + "/in" for _ in range(2)]
+    log(spark, record("a", 1), record("b", 2)).write.parquet(inbox[0])
+    log(spark, record("b", 3, "late"), record("c", 4)).write.parquet(inbox[1])
+    for folder in inbox:
+        source = spark.readStream.schema(REQUEST_LOG).parquet(folder)
+        stream.stream_records(source, path, tempfile.mkdtemp())
+    rows = sorted((r["job_id"], r["model_name"]) for r in stream.read_batches(spark, path).collect())
+    assert rows == [("a", "m"), ("b", "m"), ("c", "m")]
+
+
+def test_known_jobs_are_not_sent_to_a_model(spark):
+    path, inbox = tempfile.mkdtemp() + "/log", tempfile.mkdtemp() + "/in"
+    rows = spark.createDataFrame([("1", "x"), ("2", "y")], "job_id string, raw_text string")
+    rows.write.parquet(inbox)
+
+    def once():
+        return lambda prompt: "no answer"
+
+    def never():
+        def call(prompt):
+            raise AssertionError("called")
+        return call
+
+    for make in (once, never):
+        source = spark.readStream.schema(rows.schema).parquet(inbox)
+        stream.stream_extract(source, [Model("m", make)], path, tempfile.mkdtemp())
+    found = stream.read_batches(spark, path).collect()
+    assert sorted(r["job_id"] for r in found) == ["1", "2"] and not any("called" in r["error"] for r in found)
+
+
+def test_retried_jobs_count_once(spark):
+    inbox, path, state = tempfile.mkdtemp() + "/in", tempfile.mkdtemp() + "/stats", tempfile.mkdtemp()
+    for rows in ([record("a", 1), record("b", 2)], [record("a", 5), record("c", 6)]):
+        log(spark, *rows).write.mode("append").parquet(inbox)
+        stream.stream_stats(spark.readStream.schema(REQUEST_LOG).parquet(inbox), path, state)
+    assert [r["requests"] if "requests" in r else r[1] for r in stream.read_stats(spark, path).collect()] == [3]
+
+
 def test_stream_skips_blank_documents(spark):
     inbox, path = tempfile.mkdtemp() + "/inbox", tempfile.mkdtemp() + "/log"
     text = "INVOICE\nVendor: V\n- d | 1.00\nTotal Due: 1.00 USD"

@@ -40,6 +40,9 @@ ACCEPTED = {
     "date with midnight": answer(invoice_date="2024-01-01 00:00:00"),
     "epoch number": '{"vendor_name": "V", "total_amount": "1", "invoice_date": 86400}',
     "epoch text": answer(invoice_date="1704067200"),
+    "epoch text with fraction": answer(invoice_date="1704067200.0"),
+    "epoch text with exponent": answer(invoice_date="8.64e4"),
+    "underscore in quantity": item(quantity="1_0.5"),
     "null number": answer(invoice_number=None),
     "duplicate keys, last wins": '{"vendor_name": 1, "vendor_name": "V", "total_amount": "10.00"}',
     "white space around": "\n " + answer() + "\n",
@@ -72,6 +75,14 @@ REJECTED = {
     "short month": (answer(invoice_date="2024-1-5"), "invoice_date:NOT_A_DATE"),
     "time of day": (answer(invoice_date="2024-01-01T10:00:00"), "invoice_date:NOT_A_DATE"),
     "epoch with time": (answer(invoice_date="86401"), "invoice_date:NOT_A_DATE"),
+    "year zero": (answer(invoice_date="0000-01-01"), "invoice_date:NOT_A_DATE"),
+    "smallest whole number as date": ('{"vendor_name": "V", "total_amount": "1", "invoice_date": -9223372036854775808}', "invoice_date:NOT_A_DATE"),
+    "far day as date": ('{"vendor_name": "V", "total_amount": "1", "invoice_date": 259200000000000000}', "invoice_date:NOT_A_DATE"),
+    "far day as date text": (answer(invoice_date="259200000000000000"), "invoice_date:NOT_A_DATE"),
+    "tiny negative amount": (answer(total_amount="-1e-400"), "total_amount:NEGATIVE"),
+    "quantity with outer underscore": (item(quantity="_1"), "line_items[0].quantity:NOT_A_NUMBER"),
+    "quantity with last underscore": (item(quantity="1_"), "line_items[0].quantity:NOT_A_NUMBER"),
+    "quantity with two underscores": (item(quantity="1__0"), "line_items[0].quantity:NOT_A_NUMBER"),
     "list": ("[1]", "document:NOT_AN_OBJECT"),
     "number": ("1", "document:NOT_AN_OBJECT"),
     "text": ('"s"', "document:NOT_AN_OBJECT"),
