@@ -171,10 +171,13 @@ def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         prefix = max(0, total - max(shared - 1, 1) + 1)
         # Far from the pivot, a partner cannot be near it: both sides' prefixes meet.
         far = total > 2.2 * share * (len(member) + len(pivot)) / percent * 100
-        own = 0 if linked else min(total, prefix) if far else total
-        return a, b, linked, difference[: max(own, prefix)].tolist(), own, prefix
+        # No link misses more than t elements of either difference, with |y| at most 100 / percent * |x|.
+        most = int(share * len(member) * (1 + 100 / percent) + 1e-9) + 1
+        prefix = min(prefix, most)
+        own = 0 if linked else min(total, prefix if far else most)
+        return a, b, linked, difference[: max(own, prefix)].tolist(), own, prefix, total
 
-    return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int")
+    return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int, far long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
@@ -209,8 +212,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         group = large.join(top.select("bucket", (-F.col("top.minus")).alias("a")).hint("merge"), "bucket").filter("id <> a")
         star = written(_starred(group.select("a", F.col("id").alias("b")).distinct(), texts, percent), "star")
         links.append(star.filter("linked").select("a", "b"))
-        spots = star.select("a", F.col("b").alias("id"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
-        members = spots.join(weights.hint("merge"), "id").select("id", F.xxhash64("a", "element").alias("bucket"), "weight", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
+        # The next pivots are the members nearest to this one.
+        spots = star.select("a", F.col("b").alias("id"), (-F.col("far")).alias("weight"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
+        members = spots.select("id", F.xxhash64("a", "element").alias("bucket"), "weight", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
     every = reduce(DataFrame.union, pairs).distinct()
     checked = _confirmed(_agreement(every, sigs, percent / 100 - MARGIN), texts, percent)
     found = components(reduce(DataFrame.union, links, checked))

@@ -147,11 +147,12 @@ def encode_texts(texts: list[str], name: str) -> list[tuple[np.ndarray, str, int
         ours = [e.ids for e in backend.encode_batch_fast(fresh, add_special_tokens=False)]
         # The library adds the marker itself; a segment without one stands at the front of an unmarked text only.
         plain = [s[1:].replace(MARK, " ") if model.dummy_prefix and s[0] == MARK else s.replace(MARK, " ") for s in fresh]
-        # Where it also trims spaces, runs of markers are out of its reach and are not compared.
+        # A lone marker would be an empty text for it, and where it trims spaces runs of markers are out of its
+        # reach; these are not compared.
         theirs = other.encode(plain)
         back = backend.decode_batch(ours, skip_special_tokens=False)
         for s, a, b, spoken in zip(fresh, ours, theirs, back):
-            same = a == b or (model.trim and (len(s) < 2 or MARK in s[1:])) or s[0] != MARK
+            same = a == b or s == MARK or (model.trim and MARK in s[1:]) or s[0] != MARK
             known[s] = (np.array(a, "<u4").tobytes(), not same, spoken)
     out = []
     for text, segments in zip(whole, parts):
