@@ -186,12 +186,25 @@ def missing_extra_items(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # --- hallucination, truncation, error codes ------------------------------------------
-def hallucinated_items(text="raw_text", prediction: str = "prediction") -> Column:
-    """Number of predicted items whose description or total does not occur in the document."""
+def numbers_in(text="raw_text") -> Column:
+    """The whole numbers and amounts that a document states, in comparable form."""
+    found = F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?|\.\d+"), F.lit(0))
+    return F.array_distinct(F.transform(found, norm_number))
+
+
+def hallucinated_items(text="raw_text", prediction: str = "prediction", numbers: str = "numbers") -> Column:
+    """Number of predicted items with a description, unit price or total that the document does not state.
+
+    Amounts are looked up among ``numbers`` (see :func:`numbers_in`), so 5.00 is not found in 15.00.
+    """
     lower = F.lower(text)
+
+    def invented(amount: Column) -> Column:
+        return F.coalesce(amount.isNotNull() & ~F.array_contains(F.col(numbers), norm_number(amount)), amount.isNotNull())
+
     odd = F.filter(
         F.col(prediction)["line_items"],
-        lambda x: ~F.contains(lower, F.lower(x["description"])) | ~F.contains(F.col(text), x["total"]),
+        lambda x: ~F.contains(lower, F.lower(x["description"])) | invented(x["unit_price"]) | invented(x["total"]),
     )
     return F.coalesce(F.size(F.when(F.col(prediction).isNotNull(), odd)), F.lit(0))
 
@@ -211,7 +224,9 @@ def is_truncated(raw="raw_output", json_valid: Column | None = None) -> Column:
 def with_flags(rows: DataFrame) -> DataFrame:
     """Add ``hallucinated`` (items) and ``truncated`` per answer; uses ``json_valid`` where known."""
     known = F.col("json_valid") if "json_valid" in rows.columns else None
-    return rows.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated(json_valid=known)})
+    # Unpacked from a list so that the numbers are read once per row, not once per item.
+    read = rows.select("*", F.inline(F.array(F.struct(numbers_in().alias("numbers")))))
+    return read.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated(json_valid=known)}).drop("numbers")
 
 
 def document_errors() -> dict[tuple[str, str], Column]:
@@ -363,11 +378,16 @@ def write_run(rows: DataFrame, keys: list[str], path: str, run: dict[str, str])
 
     ``run`` names model, prompt and data versions and the configuration; it must hold
     ``run_id``. Examples keep the raw answer, the label, the prediction and both in
-    comparable form. Files are grouped by run and model.
+    comparable form. Files are grouped by run, and a run that is written again replaces itself. The rows
+    are made once: the metrics are those of the examples as written.
     """
     about = {**{name: F.lit(value) for name, value in run.items()}, "recorded_at": F.current_timestamp()}
-    metrics = metric_long(results_table(rows, keys)).withColumns(about)
-    metrics.write.mode("append").partitionBy("run_id").parquet(f"{path}/metrics")
     parsed = F.col("prediction").isNotNull()
-    examples = with_comparable(rows).withColumn("prediction_norm", F.when(parsed, F.col("prediction_norm")))
-    examples.withColumns(about).write.mode("append").partitionBy("run_id", "model").parquet(f"{path}/examples")
+    examples = with_comparable(rows).withColumn("prediction_norm", F.when(parsed, F.col("prediction_norm"))).withColumns(about)
+
+    def replace(frame: DataFrame, name: str) -> None:
+        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+
+    replace(examples, "examples")
+    kept = rows.sparkSession.read.schema(examples.schema).parquet(f"{path}/examples").where(F.col("run_id") == run["run_id"])
+    replace(metric_long(results_table(kept.select(rows.columns), keys)).withColumns(about), "metrics")

@@ -81,6 +81,26 @@ def test_missing_prediction_row_is_an_invalid_document(spark):
     }
 
 
+def test_invented_amounts_are_no_parts_of_other_numbers(spark):
+    text = "INVOICE\n- paper | 2 x 15.00 = 30.00\nTotal Due: 30.00"
+    stated = label(items=[("Paper", 2.0, "15.00", "30")])
+    cases = [(stated, 0), (label(items=[("Paper", 2.0, "15.00", "5.00")]), 1), (label(items=[("Paper", 2.0, "5.00", "30.00")]), 1), (label(items=[("Paper", 2.0, None, "30.00"), ("Ink", 1.0, None, "30.00")]), 1)]
+    found = evaluate.with_flags(rows(spark, *[(text, stated, pred) for pred, _ in cases])).orderBy("doc_id").collect()
+    assert [r["hallucinated"] for r in found] == [n for _, n in cases]
+
+
+def test_a_repeated_run_replaces_itself(spark):
+    import tempfile
+
+    path = tempfile.mkdtemp()
+    frame = rows(spark, ("", TABLE, TABLE), ("", RECEIPT, RECEIPT))
+    for _ in range(2):
+        evaluate.write_run(frame, KEYS, path, {"run_id": "7"})
+    evaluate.write_run(frame.limit(1), KEYS, path, {"run_id": "8"})
+    assert spark.read.parquet(f"{path}/examples").groupBy("run_id").count().orderBy("run_id").collect() == [(7, 2), (8, 1)]
+    assert spark.read.parquet(f"{path}/metrics").where("run_id = 7").count() == len(evaluate.METRICS)
+
+
 def test_truncation_is_an_open_end(spark):
     cases = {'{"a": 1': True, '{"a": "b': True, '{"a": [1, {"b": "}"': True, '{"a": 1} and more': False, '{"a": 1}': False, "": False, "prose": False}
     frame = spark.createDataFrame([(k,) for k in cases], "raw_output string")
