@@ -1,11 +1,15 @@
 """Small documents with every awkward case, and plain-Python versions to compare with."""
 
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
 from docutally.llm.common import prepare
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 WORDS = "amber basalt cedar delta ember fjord grove heron inlet jetty karst lagoon mesa nook orchid prairie quarry ridge summit tundra".split()
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from conftest_llm import covered, found_secrets, near_groups
 from pyspark.sql import functions as F
 
 from docutally.llm import edits, minhash, packing, secrets, sentencepieces, substrings, suffixtree, toxicity
@@ -20,14 +21,8 @@ def sorted_rows(frame):
 
 # --- suffix-array dedup --------------------------------------------------------------
 def cut_bytes(rows, length):
-    texts = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[p : p + length] for _, b in texts for p in range(len(b) - length + 1))
     out = []
-    for i, b in texts:
-        gone = bytearray(len(b))
-        for p in range(len(b) - length + 1):
-            if seen[b[p : p + length]] > 1:
-                gone[p : p + length] = b"\1" * length
+    for i, b, gone in covered(rows, length):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for p in range(len(b)) if gone[p] and (p == 0 or not gone[p - 1]))
         out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -63,48 +58,19 @@ def test_repeated_passages(docs, rows, length, prefix, block):
 
 
 # --- near-duplicates -----------------------------------------------------------------
-def near_groups(rows, percent=85):
-    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-    sets = []
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets.append((i, {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
-    parent = {i: i for i, _ in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for n, (i, s) in enumerate(sets):
-        for j, t in sets[:n]:
-            if s and None not in (i, j) and 100 * len(s & t) >= percent * len(s | t):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    return sorted(((i, len(s), root(i), i == root(i)) for i, s in sets), key=repr)
-
-
 @pytest.mark.parametrize("pairs_per_member", [64, 0])
 def test_near_duplicates(docs, rows, pairs_per_member):
     assert sorted_rows(minhash.near_duplicates(docs, pairs_per_member=pairs_per_member)) == near_groups(rows)
 
 
 # --- secrets -------------------------------------------------------------------------
-def found_secrets(text):
-    spans = []
-    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
-        spans += [(m.start(), 0, "assign", m.end())] if len(m[2]) >= 6 else []
-    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
-    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
-
-
 def test_secrets(llm, docs, rows):
     tricky = [(1, "ä😀 api_key=\"abcdef\" secret=token :abcdefgh"), (2, "TOKEN==abc12 apikey:x passwd = abcdefg"), (3, "AKIAAKIA" + "B" * 13 + " AKIA"), (4, "f" * 23 + "g" + "0" * 24), (5, None)]
     for own in (docs, llm.createDataFrame(tricky, "doc_id long, text string")):
         got = secrets.find_secrets(own).select("text", secrets.listed(F.col("spans"))).collect()
         assert len(got) == own.count()
         for text, spans in got:
-            assert spans == found_secrets(text or "")
+            assert spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in found_secrets(text or ""))
 
 
 def test_redacted(llm):
