@@ -42,7 +42,9 @@ BANDS, ROWS = 16, 4
 #: Four standard deviations of the signature's estimate at the threshold and above.
 MARGIN = 0.18
 #: A bucket with at most so many pairs per member is paired at once.
-PAIRS_PER_MEMBER = 64
+PAIRS_PER_MEMBER = 16
+#: All that is left is paired at once when it comes to at most so many pairs per bucket entry of the start.
+REST_PER_ENTRY = 2
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -180,7 +182,7 @@ def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int, far long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER, rest_per_entry: int = REST_PER_ENTRY) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one per row of ``docs``."""
     drawn = written(sketches(docs, id_col, text_col), "sketches")
     sets = ("n", "set_a", "set_b")
@@ -195,18 +197,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = written(packed(texts).join(wanted, "id"), "texts")
 
+    entry_count = shared.count()
     pairs, links = [], []
     members = shared.join(weights.hint("merge"), "id").select("id", "bucket", "weight", F.lit(True).alias("open"), F.lit(True).alias("offered"))
     while True:
         count = members.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").cast("double").alias("opens"), F.count_if("offered").alias("offers")).filter("size > 1 AND opens > 0 AND offers > 0")
-        count = count.select("bucket", (F.col("opens") * F.col("offers") <= pairs_per_member * F.col("size")).alias("small"))
+        count = count.select("bucket", (F.col("opens") * F.col("offers") / F.col("size")).alias("each"))
         members = written(members.join(count.hint("merge"), "bucket"), "buckets")
-        few = members.filter("small")
+        rest = members.filter(F.col("each") > pairs_per_member).agg(F.coalesce(F.sum("each"), F.lit(0.0))).first()[0]
+        last = rest <= rest_per_entry * entry_count
+        few = members if last else members.filter(F.col("each") <= pairs_per_member)
         met = few.filter("open").select(F.col("id").alias("x"), "bucket").join(few.filter("offered").select(F.col("id").alias("y"), "bucket").hint("merge"), "bucket")
         pairs.append(met.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-        large = members.filter("NOT small")
-        if large.isEmpty():
+        if last:
             break
+        large = members.filter(F.col("each") > pairs_per_member)
         # The pivot is an open member, the one with the commonest bucket keys.
         top = large.filter("open").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
         group = large.join(top.select("bucket", (-F.col("top.minus")).alias("a")).hint("merge"), "bucket").filter("id <> a")
