@@ -6,8 +6,7 @@ curve; places along a curve are cut into windows of ``window`` rows. A query is
 own window and both neighbouring ones on each curve; the hits of all curves are merged and reranked
 by the exact measure on the original vectors.
 
-The index has no fitted part besides the scale of the projections, which is taken from the whole table's
-component moments. Recall depends on how many dimensions the data really has; the tests measure it
+The index has no fitted part. Recall depends on how many dimensions the data really has; the tests measure it
 against brute force.
 
 Scale: the sort is a range partitioning per curve, so no task sees a whole curve; places come from

@@ -93,8 +93,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     # Round 1: blocks whose core is unique drop out.
     ranked = written(texts.mapInArrow(blocks, "key long, core long, full long, low int, n int"), "ranks")
-    cores = ranked.groupBy("core").count().filter("count > 1").select("core")
-    shared = written(ranked.join(cores, "core"), "ranks")
+    # Written first, so that both sides of the join are plain shuffles and a core with very many rows is split.
+    cores = written(ranked.groupBy("core").count().filter("count > 1").select("core"), "cores")
+    shared = written(ranked.join(cores.hint("merge"), "core"), "ranks")
     # Round 2: blocks that are repeated as a whole are settled.
     classes = shared.groupBy("core", "full").agg(F.count("*").alias("copies"), F.min(F.struct("key", "low", "n")).alias("one"))
     classes = written(classes, "ranks")

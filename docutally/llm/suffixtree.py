@@ -83,8 +83,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), pa.array(keys[first:last][text]), pa.array(place)], schema=suffix)
 
     sampled = written(texts.select("key", "_text").mapInArrow(suffixes, "path long, key long, place long"), "suffixes")
-    groups = sampled.groupBy("path").count().filter("count > 1").select("path")
-    lists = sampled.join(groups, "path").groupBy("key").agg(F.collect_list("place").alias("places"))
+    # Written first, so that both sides of the join are plain shuffles and a prefix with very many suffixes is split.
+    groups = written(sampled.groupBy("path").count().filter("count > 1").select("path"), "groups")
+    lists = sampled.join(groups.hint("merge"), "path").groupBy("key").agg(F.collect_list("place").alias("places"))
     carried = packed(texts, "_text")
     node = pa.schema([("core", pa.int64()), ("full", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("n", pa.int32())])
 
