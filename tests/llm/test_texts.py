@@ -58,7 +58,7 @@ def test_repeated_passages(docs, rows, length, prefix, block):
 
 
 # --- near-duplicates -----------------------------------------------------------------
-@pytest.mark.parametrize(("each", "rest"), [(16, 2), (0, 0)])
+@pytest.mark.parametrize(("each", "rest"), [(64, 2), (0, 0)])
 def test_near_duplicates(docs, rows, each, rest):
     assert sorted_rows(minhash.near_duplicates(docs, pairs_per_member=each, rest_per_entry=rest)) == near_groups(rows)
 
