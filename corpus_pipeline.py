@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from docutally.llm import minhash, packing, secrets, substrings, toxicity
 from docutally.llm.common import prepare, table, written
 
+#: Word-shingle similarity in percent from which documents count as near-duplicates.
+SIMILAR = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
@@ -25,7 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, and all single ones."""
     prepare(spark)
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = minhash.near_duplicates(docs, percent=SIMILAR).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash: banding, signature check, full-set check, components.
 
 Method: a document is its set of 5-word shingles (64-bit hashes). Texts with equal sets are folded to
-one class first. ``BANDS * ROWS`` universal hash functions give the minima of each class; every band of
+one class first. ``bands * ROWS`` universal hash functions give the minima of each class; every band of
 ``ROWS`` minima is a bucket key. Pairs of small buckets are checked on 16-bit signatures (kept from an
 estimate of ``threshold - MARGIN`` on), then on the full sets. Components come from alternating large-star and small-star.
 
@@ -12,8 +12,8 @@ too far from the pivot must share part of its difference with every class it is
 into smaller buckets by the elements of the differences (own shingles first, then missing ones; of the partner
 only so many that one of the required overlap must be among them), and the step repeats. No pair that can be a link is given up.
 
-With 16 bands of 4 rows a pair at similarity 0.85 shares a bucket with probability 1 - 7e-6, one at 0.9 with
-1 - 4e-8.
+There are as many bands of 4 rows as a pair at the threshold needs to share a bucket with probability 1 - 1e-5: 16
+at 0.85 (1 - 7e-6; a pair at 0.9 1 - 4e-8), 22 at 0.8 (1 - 9.2e-6).
 
 Scale: sketches are a few hundred bytes per document; texts move once, compressed, to those documents that share
 a bucket at all, then only with candidate pairs. Joins are sort-merge joins at every size.
@@ -38,7 +38,9 @@ from docutally.llm.common import packed, unpacked, written
 from docutally.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 16, 4
+ROWS = 4
+#: Share of pairs just at the threshold that may share no bucket.
+MISSED = 1e-5
 #: Four standard deviations of the signature's estimate at the threshold and above.
 MARGIN = 0.18
 #: A bucket with at most so many pairs per member is paired at once.
@@ -62,10 +64,14 @@ def shingle_sets(texts) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima of ``BANDS * ROWS`` universal hash functions."""
+def bands_for(percent: int) -> int:
+    """Bands with which all but ``MISSED`` of the pairs at the threshold share a bucket."""
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min((percent / 100) ** ROWS, 1 - 1e-9)))))
+
+
+def signature(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The minima of ``n`` universal hash functions."""
     rng = np.random.default_rng(1618)
-    n = BANDS * ROWS
     a = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, n, dtype=np.uint64)
     least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -75,9 +81,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, n_bands: int) -> DataFrame:
     """Rows (id, n, set_a, set_b, bands, sig): size and 128-bit hash of the set, band keys, 16-bit minima."""
-    bands = np.arange(BANDS, dtype=np.uint64)
+    bands = np.arange(n_bands, dtype=np.uint64)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def sketch(batches):
@@ -93,10 +99,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     keys.append([])
                     sigs.append(b"")
                     continue
-                least = H.mix(signature(own))
+                least = H.mix(signature(own, n_bands * ROWS))
                 key = bands
                 for i in range(ROWS):
-                    key = H.mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i * BANDS : (i + 1) * BANDS])
+                    key = H.mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i * n_bands : (i + 1) * n_bands])
                 keys.append(key.astype(np.int64))
                 sigs.append((least & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -113,7 +119,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
     def agree(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             keep = pa.array((a == b).mean(axis=1) >= least)
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -182,9 +188,9 @@ def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int, far long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER, rest_per_entry: int = REST_PER_ENTRY) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER, rest_per_entry: int = REST_PER_ENTRY) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one per row of ``docs``."""
-    drawn = written(sketches(docs, id_col, text_col), "sketches")
+    drawn = written(sketches(docs, id_col, text_col, bands_for(percent)), "sketches")
     sets = ("n", "set_a", "set_b")
     classes = written(drawn.filter("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
     reps = drawn.join(classes.select(F.col("rep").alias("id"), *sets).hint("merge"), ["id", *sets])
@@ -235,4 +241,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     from docutally.llm.common import prepare, table
 
-    return near_duplicates(table(prepare(spark), sf_dir, "documents"))
+    return near_duplicates(table(prepare(spark), sf_dir, "documents"), percent=85)
