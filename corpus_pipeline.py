@@ -26,10 +26,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, and all single ones."""
+    """One row of each group of near-duplicates, the first by id and row hash (null ids last), and all single ones.
+
+    Rows are told apart even where they share an id, so that a repeated row stays once and a row is not dropped for
+    another of its id. Rows without a word are all kept.
+    """
     prepare(spark)
-    kept = minhash.near_duplicates(docs, percent=SIMILAR).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # A node per row, in the order of the ids; written, so that it is the same for every later read.
+    lined = docs.withColumn("_last", F.col("doc_id").isNull()).withColumn("_row", F.xxhash64(*docs.columns))
+    line = ["_last", "doc_id", "_row"]
+    placed = lined.repartitionByRange(*line).sortWithinPartitions(*line).drop("_last", "_row").withColumn("_node", F.monotonically_increasing_id())
+    placed = written(placed, "rows")
+    kept = minhash.near_duplicates(placed, percent=SIMILAR, id_col="_node").filter("kept").select("_node")
+    return placed.join(kept.hint("merge"), "_node", "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

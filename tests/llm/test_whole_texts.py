@@ -32,3 +32,12 @@ def test_stage_drops_pairs_from_080_on(llm):
 
 def test_bands_follow_from_the_threshold():
     assert minhash.bands_for(85) == 16 and minhash.bands_for(80) == 22
+
+
+def test_stage_keeps_one_of_repeated_rows_and_rows_that_share_an_id(llm):
+    twice, shared, other = prose(21, 120), prose(22, 120), prose(23, 120)
+    rows = [(5, twice), (5, twice), (7, shared), (9, shared), (9, other), (None, twice), (None, "alone " + prose(24, 30)), (11, ""), (12, None)]
+    kept = kept_rows(llm, rows)
+    assert kept == sorted([(5, twice), (7, shared), (9, other), rows[6], (11, ""), (12, None)], key=repr)
+    docs = llm.createDataFrame([(i, t, 0) for i, t in kept], "doc_id long, text string, n_chars long")
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(llm, docs, "").collect()} >= {(5, twice), (9, other)}
