@@ -3,7 +3,8 @@
 Method: documents are tokenised and closed by ``END``. Whole windows are cut off their front; what is left, the
 tail, is shorter than a window. Tails are dealt into shards of about ``SHARD`` documents; similar texts meet in one shard
 (smallest hash of their token pairs), and a shard that a group of copies would swell is split. Each shard
-has an inverted index with BM25 weights. Seeds are taken longest first; the index returns their unused
+has an inverted index with BM25 weights by the whole corpus's document frequencies and mean length. Seeds are taken
+longest first and looked up with all their terms, in their own shard only; the index returns their unused
 neighbours, which fill the window greedily. The first that does not fit is cut at a multiple of ``CUT``
 tokens, and its rest starts the next window, so every tail is cut once at most and padding stays
 below ``CUT`` tokens a window.
@@ -12,7 +13,7 @@ Tokens are those of the tokenizer file; the same vocabulary's rank file is used
 times as fast (the tests compare both).
 
 Scale: one pass over the texts, which leave the task as checksums and term counts (1-2 KB a document); one shuffle into
-shards of bounded size. Nothing is global but two counts.
+shards of bounded size. Global are two counts, a mean and one frequency for each entry of the vocabulary.
 
 Defined results: null text counts as empty, that is one ``END``; rows that share an id are packed each; an
 empty table gives an empty result; other columns are ignored.
@@ -21,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ WINDOW = 2048
 CUT = 128
 SHARD = 2048
 END = 1
-#: Terms of a seed that are looked up, and BM25's two constants.
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+#: BM25's two constants.
+K1, B = 1.2, 0.75
 
 
 def encoder(vocabulary: str = "byte_bpe_50k.tiktoken", special: str = "<|endoftext|>"):
@@ -91,37 +93,72 @@ def tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("_text")).mapInArrow(encode, schema)
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Tails of the whole corpus: how many, their mean length, and how many hold each term (by term)."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
 class Index:
     """BM25 postings over the tails of one shard."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
         self.n = len(terms)
         every = np.concatenate(terms) if terms else np.zeros(0, np.uint32)
         doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
         tf = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
         order = np.argsort(every, kind="stable")
-        self.terms, first, df = np.unique(every[order], return_index=True, return_counts=True)
+        self.terms, first, self.df = np.unique(every[order], return_index=True, return_counts=True)
         self.bounds = np.append(first, len(every))
-        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        self.df = df
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if self.n else lengths
+        n, df = (corpus.n, corpus.df[self.terms]) if corpus else (self.n, self.df)
+        mean = corpus.mean if corpus else lengths.mean() if self.n else 0
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(mean, 1))
         self.docs = doc[order]
-        self.weights = tf[order] * (K1 + 1) / (tf[order] + norm[self.docs])
+        self.weights = np.repeat(idf, self.df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.docs])
         self.own = terms
+        # Terms of many tails are kept as rows, which add up faster than postings.
+        common = np.flatnonzero(self.df > max(16, self.n // 8))
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        for i, t in enumerate(common):
+            part = slice(self.bounds[t], self.bounds[t + 1])
+            self.rows[i, self.docs[part]] = self.weights[part]
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Tails that share a rare term with the seed, best first; ties to the earlier one."""
+        """Tails that share a term with the seed, best first by all its terms; ties to the earlier one."""
         at = np.searchsorted(self.terms, self.own[seed])
-        at = at[self.df[at] > 1]
-        at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in at:
-            part = slice(self.bounds[t], self.bounds[t + 1])
-            score[self.docs[part]] += self.idf[t] * self.weights[part]
+        row = self.row[at]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        at = at[(row < 0) & (self.df[at] > 1)]
+        n = self.df[at]
+        postings = np.repeat(self.bounds[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score += np.bincount(self.docs[postings], self.weights[postings], self.n)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
+def corpus_of(drawn: DataFrame, window: int) -> Corpus:
+    """What BM25 needs of all tails; at most one row for each entry of the vocabulary comes to the driver."""
+
+    def count(batches):
+        for batch in batches:
+            terms = [np.frombuffer(t, "<u4") for t in batch.column("terms").to_pylist()]
+            term, df = np.unique(np.concatenate([*terms, np.zeros(0, "<u4")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(df)], names=["term", "df"])
+
+    n, mean = drawn.agg(F.count("*"), F.coalesce(F.avg(F.col("tokens") % window), F.lit(0.0))).first()
+    got = drawn.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = (got.column(c).to_numpy() for c in ("term", "df"))
+    every = np.zeros(term.max() + 1 if len(term) else 0, np.int64)
+    every[term] = df
+    return Corpus(n, mean, every)
+
+
 def fill(lengths: np.ndarray, neighbours, window: int, cut: int) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (tail, first cut, last cut); last cut -1 is the tail's end.
 
@@ -143,7 +180,8 @@ def fill(lengths: np.ndarray, neighbours, window: int, cut: int) -> list[list[tu
         else:
             seed, first = rest
             now, room, rest = [(seed, first, -1)], window - int(lengths[seed]) + first * cut, None
-        queue = neighbours(seed) if room else ()
+        queue = neighbours(seed) if room else order[:0]
+        queue = queue[unused[queue]]
         for stage in (queue, order[at:]):
             for tail in stage:
                 if room < 1 or rest is not None:
@@ -170,7 +208,8 @@ def fill(lengths: np.ndarray, neighbours, window: int, cut: int) -> list[list[tu
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cut: int = CUT, shard: int = SHARD) -> DataFrame:
     """Rows (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
     drawn = written(tails(docs, id_col, text_col, window, cut), "tails")
-    buckets = max(1, -(-drawn.count() // shard))
+    corpus = corpus_of(drawn, window)
+    buckets = max(1, -(-corpus.n // shard))
     dealt = drawn.withColumn("bucket", F.pmod("likeness", F.lit(buckets)))
     sizes = dealt.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / shard).alias("parts"))
     dealt = dealt.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc", "tokens"), "parts"))
@@ -192,7 +231,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             for j, crc in enumerate(crcs):
                 rows.append((i, j * window, window, crc, base + sequence, 0))
                 sequence += 1
-        for pieces in fill(lengths, Index(terms, counts, lengths).neighbours, window, cut):
+        for pieces in fill(lengths, Index(terms, counts, lengths, corpus).neighbours, window, cut):
             offset = 0
             for i, first, last in pieces:
                 start = int(tokens[i] - lengths[i]) + first * cut
