@@ -13,7 +13,8 @@ into smaller buckets by the elements of the differences (own shingles first, the
 only so many that one of the required overlap must be among them), and the step repeats. No pair that can be a link is given up.
 
 There are as many bands of 4 rows as a pair at the threshold needs to share a bucket with probability 1 - 1e-5: 16
-at 0.85 (1 - 7e-6; a pair at 0.9 1 - 4e-8), 22 at 0.8 (1 - 9.2e-6).
+at 0.85 (1 - 7.4e-6; a pair at 0.9 1 - 4e-8), 22 at 0.8 (1 - 9.2e-6). The signature check (38 of 64 minima at 0.85, 48 of
+88 at 0.8) loses under 1.6e-7 of the pairs at the threshold besides.
 
 Scale: sketches are a few hundred bytes per document; texts move once, compressed, to those documents that share
 a bucket at all, then only with candidate pairs. Joins are sort-merge joins at every size.
@@ -41,8 +42,8 @@ SHINGLE = 5
 ROWS = 4
 #: Share of pairs just at the threshold that may share no bucket.
 MISSED = 1e-5
-#: Four standard deviations of the signature's estimate at the threshold and above.
-MARGIN = 0.18
+#: Over five standard deviations of the signature's estimate at the threshold and above.
+MARGIN = 0.26
 #: A bucket with at most so many pairs per member is paired at once.
 PAIRS_PER_MEMBER = 64
 #: All that is left is paired at once when it comes to at most so many pairs per bucket entry of the start.

@@ -1,5 +1,6 @@
 """Pairs, rows and terms that a shorter job would leave out."""
 
+import math
 import random
 
 import numpy as np
@@ -69,3 +70,10 @@ def test_scores_from_rows_and_postings_agree():
             score[i] = sum(np.log(1 + (200.5 - df[x]) / (df[x] + 0.5)) for x in both) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * lengths[i] / lengths.mean()))
         got = index.neighbours(seed)
         assert set(got) == set(np.flatnonzero(score)) and np.all(np.diff(score[got]) <= 1e-9)
+
+
+def test_signature_check_loses_next_to_nothing():
+    for percent in (80, 85):
+        n, p = minhash.bands_for(percent) * minhash.ROWS, percent / 100
+        lost = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n) if i / n < p - minhash.MARGIN)
+        assert lost < 1e-6
