@@ -1,13 +1,12 @@
-"""Byte-level removal of long repeated strings by distributed prefix doubling.
+"""Byte-level removal of long repeated strings by joins of fingerprints at sampled anchors.
 
 A string of ``length`` bytes counts as repeated if it starts at two places of all texts, the same text
 included. Every byte that such a string covers is removed.
 
-Method: positions carry ranks, equal exactly where the strings that begin there are equal; Spark
-shuffles (position, rank) pairs, drops ranks that are unique and goes on with a longer reach until the
-threshold is passed. Ranks are 64-bit content hashes instead of dense integers, so that a round needs no global
-numbering; equality of two strings is always decided by two of them together. Three things keep the
-rounds small:
+Method: there is no suffix array: no sort of suffixes and no doubling of ranks, whose rows for all positions would
+not fit the disk limit. Positions carry 64-bit content hashes (called ranks here) of strings of fixed lengths; Spark
+joins them, drops those that are unique and goes on to the next length, up to the threshold. Equality of two
+strings is always decided by two hashes together:
 
 * Places are sampled first: each window of ``length`` bytes is represented by its anchor, the leftmost
   smallest ``GRAM``-byte hash inside. Equal windows have the same anchor at the same distance.

@@ -1,4 +1,4 @@
-"""Word-level removal of repeated passages by prefix-partitioned suffix trees.
+"""Word-level removal of repeated passages by joins of path hashes at three depths of a suffix tree.
 
 A window is ``length`` consecutive words of one document. Every word covered by a window whose words
 also start in a document with a smaller id is removed, so the first document keeps the passage.
@@ -8,7 +8,8 @@ the subtree below that prefix. Prefixes grow only where suffixes still share the
 ``PREFIX`` words at sampled places, then nodes two levels down. A node is a row keyed by
 the hash of its path and holds the smallest document id below it; Spark partitions nodes by
 path, so a group never has to fit one task, and a passage that stands in a third of all documents is one node folded on
-the map side. Nodes at ``length`` words and deeper are the maximal repeats.
+the map side. The depths are fixed (``PREFIX``, a block's core, its full words and ``length``), whatever a group's size; no tree is
+built and no node deeper than a block's full words, since whether a window repeats is settled at ``length``.
 
 * Sampled places: each window is represented by its anchor, the leftmost smallest ``PREFIX``-word hash
   inside. Groups with a single suffix are leaves and drop out.
