@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docutally.llm import edits, hilbert, infill, leaks, maxscore, minhash, packing, secrets, sentencepieces, substrings, suffixtree, toxicity
+from docutally.llm import conversations, edits, hilbert, infill, leaks, maxscore, minhash, packing, secrets, sentencepieces, substrings, suffixtree, toxicity
 
 REGISTRY = {
     "op1_packing": packing.op1_packing,
@@ -17,10 +17,12 @@ REGISTRY = {
     "op10_suffix_tree": suffixtree.op10_suffix_tree,
     "op11_infill": infill.op11_infill,
     "op12_leaks": leaks.op12_leaks,
+    "op13_conversations": conversations.op13_conversations,
 }
 SQL = {
     "op5_maxscore": maxscore.OP5_SQL,
     "op7_secrets": secrets.OP7_SQL,
     "op11_infill": infill.OP11_SQL,
     "op12_leaks": leaks.OP12_SQL,
+    "op13_conversations": conversations.OP13_SQL,
 }
