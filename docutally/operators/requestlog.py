@@ -32,6 +32,19 @@ def stats_by_model(log: DataFrame) -> DataFrame:
     return log.groupBy("model_name").agg(*_stats())
 
 
+def stats_of_totals(totals: DataFrame) -> DataFrame:
+    """The statistics per model from sums that were kept per model (see ``sources.requestlog.totals``)."""
+    mean = F.col("latency") / F.nullif("timed", F.lit(0))
+    return totals.select(
+        "model_name",
+        F.col("requests").alias("total_requests"),
+        F.col("successes").alias("successful_requests"),
+        F.round(F.col("successes") / F.col("requests"), 4).alias("success_rate"),
+        F.when(mean != 0, F.round(mean, 3)).alias("average_latency_seconds"),
+        F.round(F.col("cost").cast("double"), 6).alias("total_estimated_cost_usd"),
+    )
+
+
 def recent(log: DataFrame, limit: int = fv.RECENT_LIMIT) -> DataFrame:
     """The newest ``limit`` requests with the display fields of their invoice.
 

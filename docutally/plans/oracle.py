@@ -337,9 +337,10 @@ def statements() -> dict[str, str]:
     # request log
     add("stats_global", f"SELECT {_STATS} FROM request_log", "request_log")
     add("stats_by_model", f"SELECT model_name, {_STATS} FROM request_log GROUP BY model_name", "request_log")
-    out["stream_stats"] = out["stats_by_model"]
+    out["stream_stats"] = out["log_stats"] = out["stats_by_model"]
     add("recent_topk", f"""SELECT job_id, model_name, success, error, vendor_name, invoice_number, invoice_date, total_amount, currency,
         latency_seconds, estimated_cost_usd, {_STAMP.format('created_at')} AS created_at FROM {_RECENT}""", "request_log")
+    out["log_recent"] = out["recent_topk"]
     add("latency_trend", f"""SELECT 'Job ' || row_number() OVER (ORDER BY created_at, job_id DESC) AS job,
         {_SHOWN.format('invoice_number', 'Unknown')} AS invoice, latency_seconds FROM {_RECENT} WHERE latency_seconds IS NOT NULL""", "request_log")
     add("recent_report", f"""SELECT job_id, {_SHOWN.format('invoice_number', 'Not detected')} AS invoice, {_SHOWN.format('vendor_name', 'Not detected')} AS vendor,

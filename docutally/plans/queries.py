@@ -107,6 +107,26 @@ def idempotent_append(spark, d):
     )
 
 
+@query
+def log_stats(spark, d):
+    """Statistics per model from the log's totals, after appends that repeat most jobs."""
+    path = fresh_path(spark, "log")
+    log = views.request_log(spark, d)
+    log_files.append_outcomes(log.where("success"), path)
+    log_files.append_outcomes(log, path)
+    log_files.append_outcomes(log.where("NOT success"), path)
+    return requestlog.stats_of_totals(log_files.totals(spark, path))
+
+
+@query
+def log_recent(spark, d):
+    """The recent list from the newest days of the log."""
+    path = fresh_path(spark, "log")
+    log_files.append_outcomes(views.request_log(spark, d), path)
+    newest = log_files.newest_days(spark, path, fv.RECENT_LIMIT)
+    return requestlog.recent(newest).withColumn("created_at", _day("created_at"))
+
+
 @query
 def sink_roundtrip(spark, d):
     train, test = fresh_path(spark, "train"), fresh_path(spark, "test")

@@ -50,3 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under :func:`shared_dir` that no earlier call has returned."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Folder:
+    """A path of a file system that Spark reaches, for what data frames cannot ask."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self._fs.exists(self._path)
+
+    def names(self, ending: str = "") -> list[str]:
+        """Names inside the folder with this ending; none where it does not exist."""
+        if not self.exists():
+            return []
+        return [n for f in self._fs.listStatus(self._path) if (n := f.getPath().getName()).endswith(ending)]
+
+    def delete(self) -> None:
+        self._fs.delete(self._path, True)
