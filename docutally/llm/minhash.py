@@ -5,12 +5,15 @@ one class first. ``bands * ROWS`` universal hash functions give the minima of ea
 ``ROWS`` minima is a bucket key. Pairs of small buckets are checked on 16-bit signatures (kept from an
 estimate of ``threshold - MARGIN`` on), then on the full sets. Components come from alternating large-star and small-star.
 
-Large buckets are never paired with themselves. One class, the one whose bucket keys are the commonest, is the pivot,
+Every bucket is compared with one of its classes first, the one whose bucket keys are the commonest, and components are made of the
+links found. From then on only classes of different components are paired, and buckets of one component are done.
+
+Large buckets are not paired with themselves while splitting them helps. One class, the one whose bucket keys are the commonest, is the pivot,
 and all others are compared with it. Two classes linked to the pivot are connected already. For any other pair,
 only differences from the pivot matter: two sets are as far apart as their differences are, and a class that is
 too far from the pivot must share part of its difference with every class it is linked to. So the group is split
 into smaller buckets by the elements of the differences (own shingles first, then missing ones; of the partner
-only so many that one of the required overlap must be among them), and the step repeats. No pair that can be a link is given up.
+only so many that one of the required overlap must be among them), and the step repeats as long as it at least halves the pairs that are left. No pair that can be a link is given up.
 
 There are as many bands of 4 rows as a pair at the threshold needs to share a bucket with probability 1 - 1e-5: 16
 at 0.85 (1 - 7.4e-6; a pair at 0.9 1 - 4e-8), 22 at 0.8 (1 - 9.2e-6). The signature check (38 of 64 minima at 0.85, 48 of
@@ -204,18 +207,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = written(packed(texts).join(wanted, "id"), "texts")
 
-    entry_count = shared.count()
-    pairs, links = [], []
-    members = shared.join(weights.hint("merge"), "id").select("id", "bucket", "weight", F.lit(True).alias("open"), F.lit(True).alias("offered"))
+    # First every bucket is compared with one of its own only, the one whose bucket keys are the commonest.
+    members = shared.join(weights.hint("merge"), "id")
+    top = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
+    star = members.join(top.select("bucket", (-F.col("top.minus")).alias("to")).hint("merge"), "bucket").filter("id <> to")
+    star = star.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
+    links = [written(_confirmed(_agreement(star, sigs, percent / 100 - MARGIN), texts, percent), "links")]
+    near = components(links[0]).withColumnRenamed("node", "id")
+    # What is connected already needs no further pair: buckets of one component are done, and so are those of two members.
+    members = members.filter("size > 2").join(near.hint("merge"), "id", "left").select("id", "bucket", "weight", F.coalesce("component", "id").alias("part"), F.lit(True).alias("open"), F.lit(True).alias("offered"))
+    entry_count, before = shared.count(), float("inf")
+    pairs = []
     while True:
-        count = members.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("open").cast("double").alias("opens"), F.count_if("offered").alias("offers")).filter("size > 1 AND opens > 0 AND offers > 0")
+        count = members.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.count_if("open").cast("double").alias("opens"), F.count_if("offered").alias("offers"), F.min("part").alias("low"), F.max("part").alias("high")
+        ).filter("size > 1 AND opens > 0 AND offers > 0 AND low < high")
         count = count.select("bucket", (F.col("opens") * F.col("offers") / F.col("size")).alias("each"))
         members = written(members.join(count.hint("merge"), "bucket"), "buckets")
         rest = members.filter(F.col("each") > pairs_per_member).agg(F.coalesce(F.sum("each"), F.lit(0.0))).first()[0]
-        last = rest <= rest_per_entry * entry_count
+        # Splitting goes on while it at least halves the pairs that are left.
+        last = rest <= rest_per_entry * entry_count or rest > before / 2
+        before = rest
         few = members if last else members.filter(F.col("each") <= pairs_per_member)
-        met = few.filter("open").select(F.col("id").alias("x"), "bucket").join(few.filter("offered").select(F.col("id").alias("y"), "bucket").hint("merge"), "bucket")
-        pairs.append(met.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+        met = few.filter("open").select(F.col("id").alias("x"), "bucket", F.col("part").alias("part_x")).join(few.filter("offered").select(F.col("id").alias("y"), "bucket", F.col("part").alias("part_y")).hint("merge"), "bucket")
+        pairs.append(met.filter("part_x <> part_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
         if last:
             break
         large = members.filter(F.col("each") > pairs_per_member)
@@ -225,8 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         star = written(_starred(group.select("a", F.col("id").alias("b")).distinct(), texts, percent), "star")
         links.append(star.filter("linked").select("a", "b"))
         # The next pivots are the members nearest to this one.
-        spots = star.select("a", F.col("b").alias("id"), (-F.col("far")).alias("weight"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
-        members = spots.select("id", F.xxhash64("a", "element").alias("bucket"), "weight", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
+        spots = star.join(near.withColumnRenamed("id", "b").hint("merge"), "b", "left").withColumn("part", F.coalesce("component", "b"))
+        spots = spots.select("a", F.col("b").alias("id"), "part", (-F.col("far")).alias("weight"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
+        members = spots.select("id", F.xxhash64("a", "element").alias("bucket"), "weight", "part", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
     every = reduce(DataFrame.union, pairs).distinct()
     checked = _confirmed(_agreement(every, sigs, percent / 100 - MARGIN), texts, percent)
     found = components(reduce(DataFrame.union, links, checked))
