@@ -1,13 +1,14 @@
 """Cleaning pipeline over ``documents``: toxicity, near-dedup, repeated strings, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read
-back as the next stage's ``docs``. All but the last return the columns of ``docs``. A stage works on all rows that the
-one before has kept. Null texts come out of the third stage as empty texts.
+back as the next stage's ``docs``. All but the last return the columns of ``docs``, whatever further columns there are and whatever
+their names: a row travels through an operator as one struct under a name of its own. A stage works on all rows that
+the one before has kept. Null texts come out of the third stage as empty texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docutally.llm import minhash, packing, secrets, substrings, toxicity
@@ -15,14 +16,29 @@ from docutally.llm.common import prepare, table, written
 
 #: Word-shingle similarity in percent from which documents count as near-duplicates.
 SIMILAR = 80
+#: Bytes from which a string that stands at several places is cut: passages of over 50 short words are caught.
+REPEATED = 250
+#: Column that holds the whole row inside an operator.
+ROW = "_docutally_row"
+#: Columns that the stages on texts make anew.
+NEW = ("text", "n_chars")
+
+
+def boxed(docs: DataFrame, without=()) -> DataFrame:
+    """(doc_id, text, the row as one struct): no other column name can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in without]).alias(ROW))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the boxed rows, some of them changed."""
+    return rows.select(*[(changed[c] if c in changed else F.col(ROW)[c]).alias(c) for c in columns])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     prepare(spark)
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), keep=others)
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    scored = toxicity.scores(boxed(docs), table(spark, sf_dir, "labels"), keep=[ROW])
+    return unboxed(scored.filter(F.col("score") < toxicity.THRESHOLD), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,34 +49,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     prepare(spark)
     # A node per row, in the order of the ids; written, so that it is the same for every later read.
-    lined = docs.withColumn("_last", F.col("doc_id").isNull()).withColumn("_row", F.xxhash64(*docs.columns))
-    line = ["_last", "doc_id", "_row"]
-    placed = lined.repartitionByRange(*line).sortWithinPartitions(*line).drop("_last", "_row").withColumn("_node", F.monotonically_increasing_id())
+    lined = docs.select(F.struct(*docs.columns).alias(ROW), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    line = ["last", "id", "hash"]
+    placed = lined.repartitionByRange(*line).sortWithinPartitions(*line).select(ROW, F.monotonically_increasing_id().alias("node"))
     placed = written(placed, "rows")
-    kept = minhash.near_duplicates(placed, percent=SIMILAR, id_col="_node").filter("kept").select("_node")
-    return placed.join(kept.hint("merge"), "_node", "left_semi").select(docs.columns)
+    nodes = placed.select("node", F.col(ROW)["text"].alias("text"))
+    kept = minhash.near_duplicates(nodes, percent=SIMILAR, id_col="node").filter("kept").select("node")
+    return unboxed(placed.join(kept.hint("merge"), "node", "left_semi"), docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand at several places of the remaining corpus."""
+    """Texts without the strings of ``REPEATED`` bytes that stand at several places of the remaining corpus."""
     prepare(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substrings.remove_repeats(docs, keep=others, with_text=True)
-    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(docs.columns)
+    cut = substrings.remove_repeats(boxed(docs, NEW), REPEATED, keep=[ROW], with_text=True)
+    return unboxed(cut, docs.columns, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
     prepare(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = secrets.find_secrets(docs, keep=others)
-    return found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = secrets.find_secrets(boxed(docs, NEW), keep=[ROW])
+    masked = secrets.redacted(F.col("text"), F.col("spans"))
+    return unboxed(found, docs.columns, text=masked, n_chars=F.length(masked).cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     prepare(spark)
-    return packing.pack(docs)
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [
