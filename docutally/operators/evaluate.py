@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
 from docutally.functions.text import norm_number, norm_text, same_number
+from docutally.operators import evidence
 from docutally.operators.validate import strict_json
 from docutally.schemas import DOCUMENT_FIELDS
 
@@ -96,7 +97,8 @@ def valid_rate(rows: DataFrame, by: list[str]) -> DataFrame:
 ITEM_KEY = ["description", "quantity", "unit_price", "total"]
 
 
-_ITEM_ENTRY = "description:string,quantity:double,unit_price:decimal(18,6),total:decimal(18,6)"
+_ITEM_KINDS = {"description": "string", "quantity": "double", "unit_price": "decimal(18,6)", "total": "decimal(18,6)"}
+_ITEM_ENTRY = ",".join(f"{name}:{kind}" for name, kind in _ITEM_KINDS.items())
 
 
 def item_counts(
@@ -186,22 +188,17 @@ def missing_extra_items(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # --- hallucination, truncation, error codes ------------------------------------------
-def numbers_in(text="raw_text") -> Column:
-    """The whole numbers and amounts that a document states, in comparable form."""
-    found = F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?|\.\d+"), F.lit(0))
-    return F.array_distinct(F.transform(found, norm_number))
+def invented(amount: Column, amounts: str = "amounts") -> Column:
+    """Whether an amount is stated but not among ``amounts`` of the document. What is no number counts as invented."""
+    return F.coalesce(amount.isNotNull() & ~F.array_contains(F.col(amounts), norm_number(amount)), amount.isNotNull())
 
 
-def hallucinated_items(text="raw_text", prediction: str = "prediction", numbers: str = "numbers") -> Column:
+def hallucinated_items(text="raw_text", prediction: str = "prediction") -> Column:
     """Number of predicted items with a description, unit price or total that the document does not state.
 
-    Amounts are looked up among ``numbers`` (see :func:`numbers_in`), so 5.00 is not found in 15.00.
+    Amounts are looked up among the document's ``amounts`` (see ``evidence``), so 5.00 is found neither in 15.00 nor in a date.
     """
     lower = F.lower(text)
-
-    def invented(amount: Column) -> Column:
-        return F.coalesce(amount.isNotNull() & ~F.array_contains(F.col(numbers), norm_number(amount)), amount.isNotNull())
-
     odd = F.filter(
         F.col(prediction)["line_items"],
         lambda x: ~F.contains(lower, F.lower(x["description"])) | invented(x["unit_price"]) | invented(x["total"]),
@@ -209,6 +206,12 @@ def hallucinated_items(text="raw_text", prediction: str = "prediction", numbers:
     return F.coalesce(F.size(F.when(F.col(prediction).isNotNull(), odd)), F.lit(0))
 
 
+def hallucinated_amounts(prediction: str = "prediction") -> Column:
+    """Number of predicted document amounts (subtotal, tax, total) that the document does not state."""
+    found = [F.coalesce(invented(F.col(prediction)[f]).cast("int"), F.lit(0)) for f in AMOUNTS]
+    return F.when(F.col(prediction).isNotNull(), found[0] + found[1] + found[2]).otherwise(0)
+
+
 def is_truncated(raw="raw_output", json_valid: Column | None = None) -> Column:
     """Text that is not valid JSON and leaves a list, an object or a string open at its end."""
     json_valid = strict_json(raw).isNotNull() if json_valid is None else json_valid
@@ -222,11 +225,12 @@ def is_truncated(raw="raw_output", json_valid: Column | None = None) -> Column:
 
 
 def with_flags(rows: DataFrame) -> DataFrame:
-    """Add ``hallucinated`` (items) and ``truncated`` per answer; uses ``json_valid`` where known."""
+    """Add ``hallucinated`` (items), ``hallucinated_amounts`` and ``truncated`` per answer; uses ``json_valid`` where known."""
     known = F.col("json_valid") if "json_valid" in rows.columns else None
-    # Unpacked from a list so that the numbers are read once per row, not once per item.
-    read = rows.select("*", F.inline(F.array(F.struct(numbers_in().alias("numbers")))))
-    return read.withColumns({"hallucinated": hallucinated_items(), "truncated": is_truncated(json_valid=known)}).drop("numbers")
+    # Unpacked from a list so that the text is read once per row, not once per item.
+    read = rows.select("*", F.inline(F.array(F.struct(evidence.stated("amount").alias("amounts")))))
+    flags = {"hallucinated": hallucinated_items(), "hallucinated_amounts": hallucinated_amounts(), "truncated": is_truncated(json_valid=known)}
+    return read.withColumns(flags).drop("amounts")
 
 
 def document_errors() -> dict[tuple[str, str], Column]:
@@ -235,72 +239,98 @@ def document_errors() -> dict[tuple[str, str], Column]:
     return {
         **{("document", code): parsed & ~F.col(f"right.{f}") for f, code in fv.FIELD_ERRORS.items()},
         ("generation", "TRUNCATION"): F.col("truncated"),
-        ("generation", "HALLUCINATION"): F.col("hallucinated") > 0,
+        ("generation", "HALLUCINATION"): F.col("hallucinated") + F.col("hallucinated_amounts") > 0,
     }
 
 
-def item_errors(grouped: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
-    """Item error counts per document, and the sums of ``others``, from ``item_counts`` rows.
+def with_item_agreement(rows: DataFrame, truth: str = "invoice", prediction: str = "prediction") -> DataFrame:
+    """Add ``agreed``: per row, how the items of label and prediction agree on four levels (zeros without a prediction).
 
-    A document's wrong quantities are the matched copies minus those that agree on
-    description and quantity; prices and totals likewise. When a document has both missing and
-    extra items, the smaller of the two numbers is counted as wrong descriptions.
+    ``matched``, ``missing`` and ``extra`` copies by description; ``same_quantity``, ``same_price`` and ``same_total`` are the copies
+    that also agree on that value. All items of a document stand in its row: the entries of both sides are sorted by their
+    value and counted in one run, so nothing is shuffled.
     """
-    base = [*keys, "description"]
-    levels = [base, [*base, "quantity"], [*base, "unit_price"], [*base, "total"]]
-    sets = grouped.groupingSets(levels, *base, "quantity", "unit_price", "total").agg(
-        F.grouping_id().alias("level"), *[F.sum(n).alias(n) for n in ("g", "p", *others)]
-    )
-    # The last three bits tell which of quantity, unit_price and total were left out.
-    only_text, with_quantity, with_price, with_total = 0b111, 0b011, 0b101, 0b110
-
-    def total(level: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("level") == level, value).otherwise(0))
-
-    g, p = F.col("g"), F.col("p")
-    per_document = sets.groupBy(*keys).agg(
-        total(only_text, F.least(g, p)).alias("matched"),
-        total(only_text, F.greatest(g - p, F.lit(0))).alias("missing"),
-        total(only_text, F.greatest(p - g, F.lit(0))).alias("extra"),
-        total(with_quantity, F.least(g, p)).alias("same_quantity"),
-        total(with_price, F.least(g, p)).alias("same_price"),
-        total(with_total, F.least(g, p)).alias("same_total"),
-        *[total(only_text, F.col(n)).alias(n) for n in others],
-    )
-    renamed = F.least("missing", "extra")
-    return per_document.select(
-        *keys,
-        *others,
-        (F.col("missing") - renamed).alias("MISSING_LINE_ITEMS"),
-        (F.col("extra") - renamed).alias("EXTRA_LINE_ITEMS"),
-        renamed.alias("WRONG_DESCRIPTION"),
-        (F.col("matched") - F.col("same_quantity")).alias("WRONG_QUANTITY"),
-        (F.col("matched") - F.col("same_price")).alias("WRONG_UNIT_PRICE"),
-        (F.col("matched") - F.col("same_total")).alias("WRONG_TOTAL"),
+
+    def side(label: str) -> Column:
+        normal = F.transform(
+            F.col(label)["line_items"],
+            lambda x: F.struct(
+                norm_text(x["description"]).alias("description"), x["quantity"].alias("quantity"), norm_number(x["unit_price"]).alias("unit_price"), norm_number(x["total"]).alias("total")
+            ),
+        )
+        return F.coalesce(F.when(F.col(prediction).isNotNull(), normal), F.array().cast(f"array<struct<{_ITEM_ENTRY}>>"))
+
+    # Unpacked from a list so that the items are normalised once, not once per level.
+    read = rows.select("*", F.inline(F.array(F.struct(side(truth).alias("_g"), side(prediction).alias("_p")))))
+    by_text = _counted("description")
+    agreed = F.struct(
+        *[by_text[c].alias(c) for c in ("matched", "missing", "extra")],
+        *[_counted("description", value)["matched"].alias(name) for value, name in (("quantity", "same_quantity"), ("unit_price", "same_price"), ("total", "same_total"))],
     )
+    return read.withColumn("agreed", agreed).drop("_g", "_p")
+
+
+def _counted(*value: str) -> Column:
+    """(matched, missing, extra) copies of the items in ``_g`` and ``_p``, told apart by the fields ``value``."""
+
+    def entries(items: str, g: int, p: int) -> Column:
+        return F.transform(items, lambda x: F.struct(F.struct(*[x[v].alias(v) for v in value]).alias("key"), F.lit(g).alias("g"), F.lit(p).alias("p")))
+
+    kind = "struct<" + ",".join(f"{v}:{_ITEM_KINDS[v]}" for v in value) + ">"
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast(kind).alias("key"), *[zero.alias(n) for n in ("g", "p", "matched", "missing", "extra")])
+
+    def closed(s: Column) -> list[Column]:
+        g, p = s["g"], s["p"]
+        return [
+            (s["matched"] + F.least(g, p)).alias("matched"),
+            (s["missing"] + F.greatest(g - p, zero)).alias("missing"),
+            (s["extra"] + F.greatest(p - g, zero)).alias("extra"),
+        ]
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["key"].eqNullSafe(x["key"])
+        counts = [F.when(same, s[n]).otherwise(zero) + x[n] for n in ("g", "p")]
+        sums = [F.when(same, s[n]).otherwise(done).alias(n) for n, done in zip(("matched", "missing", "extra"), closed(s))]
+        return F.struct(x["key"].alias("key"), counts[0].alias("g"), counts[1].alias("p"), *sums)
+
+    both = F.array_sort(F.concat(entries("_g", 1, 0), entries("_p", 0, 1)))
+    return F.aggregate(both, start, step, lambda s: F.struct(*closed(s)))
+
+
+def item_error_counts() -> dict[str, Column]:
+    """Item error code to its number, from ``agreed``.
+
+    Wrong quantities are the matched copies minus those that agree on description and quantity; prices and totals likewise. When
+    a document has both missing and extra items, the smaller of the two numbers is counted as wrong descriptions.
+    """
+    n = {c: F.col(f"agreed.{c}") for c in ("matched", "missing", "extra", "same_quantity", "same_price", "same_total")}
+    renamed = F.least(n["missing"], n["extra"])
+    return {
+        "MISSING_LINE_ITEMS": n["missing"] - renamed,
+        "EXTRA_LINE_ITEMS": n["extra"] - renamed,
+        "WRONG_DESCRIPTION": renamed,
+        "WRONG_QUANTITY": n["matched"] - n["same_quantity"],
+        "WRONG_UNIT_PRICE": n["matched"] - n["same_price"],
+        "WRONG_TOTAL": n["matched"] - n["same_total"],
+    }
 
 
 def example_errors(rows: DataFrame, keys: list[str], labels: DataFrame | None = None) -> DataFrame:
     """Error records per example: (keys, level, code, n).
 
-    SEMANTIC_SUBSTITUTION and ANNOTATION_AMBIGUITY need a human judgement: they come only from
-    ``labels`` (keys, level, code), never from a guess. Item errors are looked for in valid
-    answers only.
+    A row is one example and gives its records by itself, without a shuffle. SEMANTIC_SUBSTITUTION and
+    ANNOTATION_AMBIGUITY need a human judgement: they come only from ``labels`` (keys, level, code), never from a
+    guess. Item errors are looked for in valid answers only.
     """
-    flagged = with_flags(with_matches(rows)).withColumn(
-        "_truth", F.when(F.col("prediction").isNotNull(), F.col("invoice"))
-    )
-    conditions = document_errors()
-    names = [f"{level}_{code}" for level, code in conditions]
-    measures = dict(zip(names, conditions.values()))
-    counted = item_errors(item_counts(flagged, keys, truth="_truth", measures=measures), keys, names)
+    judged = with_item_agreement(with_flags(with_matches(rows)))
 
-    def entry(level: str, code: str, column: str) -> Column:
-        return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.col(column).alias("n"))
+    def entry(level: str, code: str, n: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), n.cast("bigint").alias("n"))
 
-    entries = [entry(level, code, name) for (level, code), name in zip(conditions, names)]
-    entries += [entry("line_item", code, code) for code in fv.ITEM_ERRORS]
-    errors = counted.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["n"] > 0)))
+    entries = [entry(level, code, condition) for (level, code), condition in document_errors().items()]
+    entries += [entry("line_item", code, n) for code, n in item_error_counts().items()]
+    errors = judged.select(*keys, F.inline(F.array(*entries))).where("n > 0")
     if labels is not None:
         one = F.lit(1).cast("bigint").alias("n")
         errors = errors.unionByName(labels.select(*keys, "level", "code", one))

@@ -33,7 +33,7 @@ _WORDS = r"len(string_split_regex(" + _TRIMMED + r", '\s+'))"
 _PCT = "round({0} * 100.0::DOUBLE / nullif({1}, 0), 2)"
 _VALID = (
     "defect IN ('clean', 'near_total', 'wrong_total', 'wrong_vendor', 'reformatted', "
-    "'dropped_item', 'extra_item', 'wrong_date', 'wrong_quantity')"
+    "'dropped_item', 'extra_item', 'wrong_date', 'wrong_quantity', 'dated_price')"
 )
 _JSON_OK = "defect NOT IN ('fenced', 'truncated', 'trailing', 'empty')"
 _HEX8 = "('0x' || substr({0}, {1}, 8))::BIGINT"
@@ -134,7 +134,8 @@ CTES = {
         FROM pairs, ({_ANSWERING})""",
     "found_items": """
         SELECT model, doc_id, pos, description,
-               CASE WHEN defect = 'wrong_quantity' AND pos = 0 THEN (coalesce(q, 0) + 1)::DECIMAL(10,1) ELSE q END AS q, u, t
+               CASE WHEN defect = 'wrong_quantity' AND pos = 0 THEN (coalesce(q, 0) + 1)::DECIMAL(10,1) ELSE q END AS q,
+               CASE WHEN defect = 'dated_price' AND pos = 0 THEN coalesce(day(invoice_date), 31)::DECIMAL(18,2) ELSE u END AS u, t
         FROM marked JOIN lines USING (doc_id) WHERE NOT (defect = 'dropped_item' AND pos = 0)
         UNION ALL
         SELECT model, doc_id, 1000000, 'Unlisted surcharge', 1.0, 7.77, 7.77 FROM marked WHERE defect = 'extra_item'""",
@@ -183,6 +184,16 @@ CTES = {
         SELECT model, dataset, doc_id, description, q, u, t, 1 AS g, 0 AS p FROM marked JOIN lines USING (doc_id)
         UNION ALL
         SELECT model, dataset, doc_id, description, q, u, t, 0, 1 FROM found JOIN found_items USING (model, doc_id) WHERE valid""",
+    "stated": """
+        SELECT doc_id, list(DISTINCT x) AS amounts FROM (
+            SELECT doc_id, u AS x FROM lines UNION ALL SELECT doc_id, t FROM lines UNION ALL SELECT doc_id, subtotal FROM headers
+            UNION ALL SELECT doc_id, tax_amount FROM headers UNION ALL SELECT doc_id, total_amount FROM headers) GROUP BY doc_id""",
+    "invented": """
+        SELECT model, doc_id, defect = 'truncated' AS truncated, (defect = 'extra_item' OR (defect = 'dated_price' AND n_items > 0
+                   AND NOT list_contains(amounts, coalesce(day(invoice_date), 31)::DECIMAL(18,2))))::BIGINT AS items,
+               ((defect = 'near_total' AND NOT list_contains(amounts, (total_amount + 0.05)::DECIMAL(18,2)))
+                   OR (defect = 'wrong_total' AND NOT list_contains(amounts, (total_amount + 1.00)::DECIMAL(18,2))))::BIGINT AS amounts
+        FROM marked JOIN stated USING (doc_id)""",
     "per_item": """
         SELECT model, dataset, doc_id, description, q, u, t, sum(g)::BIGINT AS g, sum(p)::BIGINT AS p
         FROM both_sides GROUP BY ALL""",
@@ -207,7 +218,7 @@ CTES = {
         UNION ALL SELECT model, doc_id, 'document', 'WRONG_DATE', 1 FROM fields WHERE valid AND NOT invoice_date
         UNION ALL SELECT model, doc_id, 'document', 'WRONG_TOTAL', 1 FROM fields WHERE valid AND NOT total_amount
         UNION ALL SELECT model, doc_id, 'generation', 'TRUNCATION', 1 FROM found WHERE defect = 'truncated'
-        UNION ALL SELECT model, doc_id, 'generation', 'HALLUCINATION', 1 FROM found WHERE defect = 'extra_item'
+        UNION ALL SELECT model, doc_id, 'generation', 'HALLUCINATION', 1 FROM invented WHERE items + amounts > 0
         UNION ALL SELECT model, doc_id, 'line_item', 'MISSING_LINE_ITEMS', 1 FROM found WHERE defect = 'dropped_item' AND n_items > 0
         UNION ALL SELECT model, doc_id, 'line_item', 'EXTRA_LINE_ITEMS', 1 FROM found WHERE defect = 'extra_item'
         UNION ALL
@@ -216,6 +227,12 @@ CTES = {
             UNION ALL
             SELECT model, doc_id, description || coalesce(q, -1), 0, least(sum(g), sum(p)) FROM per_item JOIN found USING (model, doc_id) WHERE valid GROUP BY model, doc_id, description, q
         ) GROUP BY model, doc_id HAVING sum(m) > sum(s)
+        UNION ALL
+        SELECT model, doc_id, 'line_item', 'WRONG_UNIT_PRICE', sum(m)::BIGINT - sum(s)::BIGINT FROM (
+            SELECT model, doc_id, description, least(sum(g), sum(p)) AS m, 0 AS s FROM per_item JOIN found USING (model, doc_id) WHERE valid GROUP BY ALL
+            UNION ALL
+            SELECT model, doc_id, description || coalesce(u, -1), 0, least(sum(g), sum(p)) FROM per_item JOIN found USING (model, doc_id) WHERE valid GROUP BY model, doc_id, description, u
+        ) GROUP BY model, doc_id HAVING sum(m) > sum(s)
         UNION ALL SELECT model, doc_id, 'annotation', 'ANNOTATION_AMBIGUITY', 1 FROM labels, (SELECT unnest(['large', 'small']) AS model) WHERE quality = 0""",
     # generated invoices
     "gen": f"""
@@ -251,7 +268,7 @@ _DEPENDS = {
     "found_text": ["found_items"], "found": ["marked", "found_text"], "answers": ["found"], "outcome": ["answers"],
     "fields": ["found"], "n_right": ["fields"], "both_sides": ["found", "found_items"], "per_item": ["both_sides"],
     "per_text": ["per_item"], "item_scores": ["per_text"], "results": ["n_right", "item_scores"],
-    "metric_rows": ["results"], "error_rows": ["fields", "found", "per_item"], "gen_order": ["gen"],
+    "metric_rows": ["results"], "error_rows": ["fields", "found", "per_item", "invented"], "stated": ["lines", "headers"], "invented": ["marked", "stated"], "gen_order": ["gen"],
     "gen_items": ["gen_order"], "gen_sums": ["gen_items"], "gen_money": ["gen_sums"],
 }
 
@@ -407,7 +424,10 @@ def statements() -> dict[str, str]:
     add("missing_extra_items", """SELECT model, doc_id, lower(description) AS description, CASE WHEN g > p THEN 'missing' ELSE 'extra' END AS kind, abs(g - p) AS copies
         FROM per_text WHERE g <> p""", "per_text")
     add("error_taxonomy", "SELECT model, level, code, count(*) AS examples, sum(n)::BIGINT AS errors FROM error_rows GROUP BY ALL", "error_rows")
-    add("hallucination_flags", "SELECT model, doc_id, (defect = 'extra_item')::BIGINT AS hallucinated, defect = 'truncated' AS truncated FROM marked", "marked")
+    add("hallucination_flags", "SELECT model, doc_id, items AS hallucinated, amounts AS hallucinated_amounts, truncated FROM invented", "invented")
+    add("evidence_spans", """SELECT doc_id, (invoice_date IS NOT NULL)::BIGINT AS dates, coalesce(n, 0) + (subtotal IS NOT NULL)::BIGINT + (tax_amount IS NOT NULL)::BIGINT + 1 AS amounts,
+        coalesce(n_q, 0) AS quantities, 1 + (invoice_number IS NOT NULL)::BIGINT AS codes, TRUE AS aligned
+        FROM headers LEFT JOIN (SELECT doc_id, count(t) + count(u) AS n, count(q) AS n_q FROM lines GROUP BY doc_id) USING (doc_id)""", "headers", "lines")
     add("results_table", "SELECT * FROM results", "results")
     add("model_delta", """SELECT dataset, metric, b.value AS before, a.value AS after, round(a.value - b.value, 2) AS delta
         FROM metric_rows a JOIN metric_rows b USING (dataset, metric) WHERE a.model = 'large' AND b.model = 'small'""", "metric_rows")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
 from docutally.functions.text import is_blank, norm_number, norm_text, sha256_mod_10000, word_count
-from docutally.operators import dataset, evaluate, profile, requestlog, training
+from docutally.operators import dataset, evaluate, evidence, profile, requestlog, training
 from docutally.operators.clients import layout_reader
 from docutally.operators.extract import (
     Model, add_cost, answer_error, apply_model, baseline_table, fixed_answer, outcomes, route, route_on_invalid,
@@ -531,7 +531,22 @@ def error_taxonomy(spark, d):
 @query
 def hallucination_flags(spark, d):
     return evaluate.with_flags(evaluated(spark, d)).select(
-        "model", "doc_id", F.col("hallucinated").cast("bigint").alias("hallucinated"), "truncated"
+        "model", "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("hallucinated", "hallucinated_amounts")], "truncated"
+    )
+
+
+@query
+def evidence_spans(spark, d):
+    """Dates, amounts, quantities and codes that every document states, and whether their places hold them."""
+    texts = views.pairs(spark, d).select("doc_id", "raw_text")
+    places = evidence.spans(texts, DOC).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "stop", "text")).alias("places"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("places", lambda p: p["kind"] == kind)).cast("bigint")
+
+    there = F.forall("places", lambda p: F.substring("raw_text", p["start"].cast("int") + 1, (p["stop"] - p["start"]).cast("int")) == p["text"])
+    return texts.join(places, "doc_id").select(
+        "doc_id", count("date").alias("dates"), count("amount").alias("amounts"), count("quantity").alias("quantities"), count("code").alias("codes"), there.alias("aligned")
     )
 
 

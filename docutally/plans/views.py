@@ -175,7 +175,7 @@ def noisy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model answers -------------------------------------------------------------------
 # What is wrong with an answer, by (key * factor + shift) % 20.
 DEFECTS = [
-    "clean", "clean", "clean", "clean", "near_total", "wrong_total", "wrong_vendor", "reformatted", "fenced", "truncated",
+    "clean", "clean", "clean", "dated_price", "near_total", "wrong_total", "wrong_vendor", "reformatted", "fenced", "truncated",
     "trailing", "null_currency", "numeric_vendor", "negative_total", "dropped_item", "extra_item",
     "wrong_date", "wrong_quantity", "empty", "not_object",
 ]
@@ -218,10 +218,14 @@ def answer_text(defect: Column, gold: Column) -> Column:
     )
     bumped = first.withField("quantity", F.coalesce(first["quantity"], F.lit(0.0)) + 1)
     has_items = F.size(gold["line_items"]) > 0
+    # A price that the document holds as a day of its date only.
+    day = F.coalesce(F.dayofmonth(gold["invoice_date"].cast("date")), F.lit(31))
+    dated = first.withField("unit_price", F.concat(day.cast("string"), F.lit(".00")))
     items = (
         F.when(has("dropped_item"), rest)
         .when(has("extra_item"), F.array_append(gold["line_items"], extra))
         .when(has("wrong_quantity") & has_items, F.array_prepend(rest, bumped))
+        .when(has("dated_price") & has_items, F.array_prepend(rest, dated))
         .otherwise(gold["line_items"])
     )
     spaced = F.concat(F.lit("  "), F.lower(F.replace(gold["vendor_name"], F.lit(" "), F.lit("  "))))
