@@ -193,15 +193,14 @@ def invented(amount: Column, amounts: str = "amounts") -> Column:
     return F.coalesce(amount.isNotNull() & ~F.array_contains(F.col(amounts), norm_number(amount)), amount.isNotNull())
 
 
-def hallucinated_items(text="raw_text", prediction: str = "prediction") -> Column:
-    """Number of predicted items with a description, unit price or total that the document does not state.
+def hallucinated_items(lower="lower", prediction: str = "prediction") -> Column:
+    """Number of predicted items with a description, unit price or total that the document (in ``lower`` case) does not state.
 
     Amounts are looked up among the document's ``amounts`` (see ``evidence``), so 5.00 is found neither in 15.00 nor in a date.
     """
-    lower = F.lower(text)
     odd = F.filter(
         F.col(prediction)["line_items"],
-        lambda x: ~F.contains(lower, F.lower(x["description"])) | invented(x["unit_price"]) | invented(x["total"]),
+        lambda x: ~F.contains(F.col(lower), F.lower(x["description"])) | invented(x["unit_price"]) | invented(x["total"]),
     )
     return F.coalesce(F.size(F.when(F.col(prediction).isNotNull(), odd)), F.lit(0))
 
@@ -228,9 +227,9 @@ def with_flags(rows: DataFrame) -> DataFrame:
     """Add ``hallucinated`` (items), ``hallucinated_amounts`` and ``truncated`` per answer; uses ``json_valid`` where known."""
     known = F.col("json_valid") if "json_valid" in rows.columns else None
     # Unpacked from a list so that the text is read once per row, not once per item.
-    read = rows.select("*", F.inline(F.array(F.struct(evidence.stated("amount").alias("amounts")))))
+    read = rows.select("*", F.inline(F.array(F.struct(evidence.stated("amount").alias("amounts"), F.lower("raw_text").alias("lower")))))
     flags = {"hallucinated": hallucinated_items(), "hallucinated_amounts": hallucinated_amounts(), "truncated": is_truncated(json_valid=known)}
-    return read.withColumns(flags).drop("amounts")
+    return read.withColumns(flags).drop("amounts", "lower")
 
 
 def document_errors() -> dict[tuple[str, str], Column]:
@@ -267,7 +266,10 @@ def with_item_agreement(rows: DataFrame, truth: str = "invoice", prediction: str
         *[by_text[c].alias(c) for c in ("matched", "missing", "extra")],
         *[_counted("description", value)["matched"].alias(name) for value, name in (("quantity", "same_quantity"), ("unit_price", "same_price"), ("total", "same_total"))],
     )
-    return read.withColumn("agreed", agreed).drop("_g", "_p")
+    # Most answers list the items as the label does.
+    n, zero = F.size("_g"), F.lit(0)
+    equal = F.struct(*[value.alias(c) for c, value in zip(("matched", "missing", "extra", "same_quantity", "same_price", "same_total"), (n, zero, zero, n, n, n))])
+    return read.withColumn("agreed", F.when(F.col("_g") == F.col("_p"), equal).otherwise(agreed)).drop("_g", "_p")
 
 
 def _counted(*value: str) -> Column:

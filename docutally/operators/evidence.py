@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
-from docutally.functions.text import norm_number
+from docutally.schemas import MONEY
 
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
 _NUMBER = r"(?:\d+(?:,\d+)*(?:\.\d+)?|\.\d+)"
@@ -19,13 +19,13 @@ _CURRENCY = "(?:" + "|".join([*sorted(set(fv.CURRENCIES)), r"[$€£₹]"]) + ")
 _LABEL = r"(?i:total|subtotal|tax|due|price|amount|rate)"
 #: Kinds in the order in which they are tried; one group each.
 KINDS = {
-    "date": rf"(?<![\w.])(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{4}}|\d{{2}})|\d{{1,2}} {_MONTH}(?:,? \d{{4}})?|{_MONTH} \d{{1,2}}(?:,? \d{{4}})?)(?![\w/-])",
+    "date": rf"(?<![\w.])(?=[\dJFMASOND])(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.](?:\d{{4}}|\d{{2}})|\d{{1,2}} {_MONTH}(?:,? \d{{4}})?|{_MONTH} \d{{1,2}}(?:,? \d{{4}})?)(?![\w/-])",
     "percent": rf"(?<![\w.]){_NUMBER}\s?%",
     "amount": (
         rf"(?<![\w.]){_CURRENCY}\s?-?{_NUMBER}(?!\w)|(?<![\w.])-?{_NUMBER}\s?{_CURRENCY}(?!\w)"
-        rf"|(?<![\w.])-?\d+(?:,\d+)*\.\d{{2}}(?!\w|\.\d)|(?<=(?:{_LABEL}:?|[=@])\s{{0,3}})-?{_NUMBER}(?!\w|\s?%)"
+        rf"|(?<![\w.])-?\d+(?:,\d+)*\.\d{{2}}(?!\w|\.\d)|(?=[-.\d])(?<=(?:{_LABEL}:?|[=@])\s{{0,3}})-?{_NUMBER}(?!\w|\s?%)"
     ),
-    "code": r"(?<!\w)(?:[A-Za-z]+[-#/_]?\d[\w#/-]*|#\d[\w-]*|\d[\d.]*(?![x×]\b)[A-Za-z][\w-]*|\d+(?:[-/]\d+)+)",
+    "code": r"(?<!\w)(?:[A-Za-z]++[-#/_]?\d[\w#/-]*|#\d[\w-]*|\d[\d.]*(?![x×]\b)[A-Za-z][\w-]*|\d+(?:[-/]\d+)+)",
     "quantity": rf"(?<![\w.]){_NUMBER}(?=[x×]?(?!\w))",
 }
 PATTERN = "|".join(f"({part})" for part in KINDS.values())
@@ -40,7 +40,8 @@ def stated(kind: str, text="raw_text") -> Column:
     found = F.filter(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(_group(kind))), lambda x: x != "")
     if kind in ("date", "code"):
         return F.array_distinct(found)
-    return F.array_distinct(F.transform(found, norm_number))
+    # A token has nothing but digits, marks and a currency, so no pattern is needed to read it.
+    return F.array_distinct(F.transform(found, lambda x: F.translate(x, "$€£₹,% \n\tABCDEFGHIJKLMNOPQRSTUVWXYZ", "").try_cast(MONEY)))
 
 
 def spans(rows: DataFrame, keys: list[str], text: str = "raw_text") -> DataFrame:
