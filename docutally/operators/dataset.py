@@ -274,21 +274,32 @@ def _unknown(texts: DataFrame, text: str, history: DataFrame | None) -> DataFram
     return texts.join(seen, same, "left_anti")
 
 
+def text_digests(history: DataFrame, text: str) -> DataFrame:
+    """The history as one 32-byte digest per distinct text; write and append to it instead of the texts."""
+    return history.select(text_digest(text).alias("digest")).distinct()
+
+
+def text_digest(text) -> Column:
+    """SHA-256 of a text: texts are taken for equal when their digests are."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def build_counters(
     attempts: DataFrame, text: str, failed: Column, passed: Column, history: DataFrame | None = None
 ) -> DataFrame:
     """Number of attempts per status, in one pass: every accepted text is kept once, its other
-    copies are duplicates. Copies are folded before the shuffle."""
-    staged = attempts.select(_stage(text, failed, passed).alias("_stage"), text)
-    accepted = F.when(F.col("_stage") == "passed", F.col(text))
-    groups = staged.groupBy("_stage", F.xxhash64(accepted).alias("_hash"), accepted.alias(text)).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    copies are duplicates. Texts become digests first and never travel; copies are folded before the shuffle.
+
+    ``history`` has the texts of earlier runs or their digests (see :func:`text_digests`).
+    """
+    staged = attempts.select(_stage(text, failed, passed).alias("_stage"), text_digest(text).alias("_digest"))
+    groups = staged.groupBy("_stage", F.when(F.col("_stage") == "passed", F.col("_digest")).alias("_digest")).agg(F.count(F.lit(1)).alias("n"))
     if history is None:
         known = groups.withColumn("_known", F.lit(False))
     else:
-        seen = history.select(F.col(text).alias("_text")).distinct().withColumn("_known", F.lit(True))
-        known = groups.join(seen, F.col(text) == F.col("_text"), "left").na.fill(False, ["_known"])
+        digests = history if "digest" in history.columns else text_digests(history, text)
+        seen = digests.select(F.col("digest").alias("_digest")).distinct().withColumn("_known", F.lit(True))
+        known = groups.join(seen, "_digest", "left").na.fill(False, ["_known"])
     ok, n = F.col("_stage") == "passed", F.col("n")
     new = (ok & ~F.col("_known")).cast("bigint")
 

@@ -391,6 +391,10 @@ def statements() -> dict[str, str]:
         SELECT CASE WHEN stage <> 'passed' THEN stage WHEN row_number() OVER (PARTITION BY stage, raw_text ORDER BY doc_id, model) > 1 THEN 'duplicate' ELSE 'kept' END AS status
         FROM (SELECT *, CASE WHEN defect = 'empty' THEN 'error' WHEN NOT valid OR defect IN ('wrong_total', 'wrong_vendor') THEN 'roundtrip' ELSE 'passed' END AS stage FROM found))
         GROUP BY status""", "found")
+    add("build_counters_history", """SELECT status, count(*) AS n FROM (
+        SELECT CASE WHEN stage <> 'passed' THEN stage WHEN row_number() OVER (PARTITION BY stage, raw_text ORDER BY doc_id, model) > 1 OR (stage = 'passed' AND raw_text IN (SELECT raw_text FROM pairs WHERE doc_id % 10 = 0)) THEN 'duplicate' ELSE 'kept' END AS status
+        FROM (SELECT *, CASE WHEN defect = 'empty' THEN 'error' WHEN NOT valid OR defect IN ('wrong_total', 'wrong_vendor') THEN 'roundtrip' ELSE 'passed' END AS stage FROM found))
+        GROUP BY status""", "found")
 
     # dataset profile
     add("vendor_profile", """SELECT vendor_name, n, (SELECT count(*) FROM headers) AS total_rows, (SELECT count(DISTINCT vendor_name) FROM headers) AS distinct_vendors
@@ -443,6 +447,7 @@ def statements() -> dict[str, str]:
     done = f"CASE WHEN doc_id % 7 = 0 THEN {n_words} ELSE 2 END"
     add("pack_training_rows", f"""SELECT doc_id, 512::BIGINT AS length, least(512, c + least(4 + n, greatest(512 - c, 0))) AS real_tokens, least(c, 512) AS label_tokens, TRUE AS aligned
         FROM (SELECT doc_id, {n_words} AS n, {done} AS c FROM documents)""")
+    add("pack_subword_rows", "SELECT doc_id, 512::BIGINT AS length, TRUE AS spells_completion, TRUE AS labels_are_inputs, TRUE AS rest_is_masked FROM documents")
     add("train_valid_split", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= ceil(0.1 * (SELECT count(*) FROM documents)) THEN 'valid' ELSE 'train' END AS split FROM documents""")
 
     # streams

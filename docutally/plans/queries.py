@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docutally import fixed_values as fv
+from docutally.functions import subwords
 from docutally.functions.text import is_blank, norm_number, norm_text, sha256_mod_10000, word_count
 from docutally.operators import dataset, evaluate, evidence, profile, requestlog, training
 from docutally.operators.clients import layout_reader
@@ -24,6 +25,8 @@ DOC = ["doc_id"]
 BY_MODEL = ["model", "doc_id"]
 LATENCY = 0.01
 PRICED_AS = {"large": "openai/gpt-oss-120b", "small": "invoice-small"}
+#: Vocabulary file of the queries on real tokens.
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 REGISTRY: dict = {}
 
 
@@ -337,7 +340,8 @@ def item_table(spark, d):
 # --- labelled-dataset building -------------------------------------------------------
 @query
 def generate_invoices(spark, d):
-    ids = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    # Eight bytes a row: a file of one row group would otherwise be one task of many draws.
+    ids = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")).repartition("doc_id")
     return dataset.generate_invoices(ids).select("doc_id", _label_json().alias("label"))
 
 
@@ -413,6 +417,16 @@ def build_counters(spark, d):
     return dataset.build_counters(attempts, "raw_text", F.col("failed"), F.col("passed"))
 
 
+@query
+def build_counters_history(spark, d):
+    """The same against a history that holds the texts of every tenth document."""
+    attempts = _recovered(spark, d, ("large", "small")).select(
+        "raw_text", _passed().alias("passed"), is_blank("raw_output").alias("failed")
+    )
+    history = views.pairs(spark, d).where("doc_id % 10 = 0").select("raw_text")
+    return dataset.build_counters(attempts, "raw_text", F.col("failed"), F.col("passed"), dataset.text_digests(history, "raw_text"))
+
+
 # --- dataset profile -----------------------------------------------------------------
 @query
 def vendor_profile(spark, d):
@@ -583,11 +597,14 @@ def run_artifacts(spark, d):
 
 
 # --- training rows -------------------------------------------------------------------
+def _training_rows(spark, d) -> DataFrame:
+    completion = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", "lang", "source"))
+    return views.table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), completion.alias("completion"))
+
+
 @query
 def pack_training_rows(spark, d):
-    completion = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat_ws(" ", "lang", "source"))
-    rows = views.table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), completion.alias("completion"))
-    packed = training.pack_training_rows(rows)
+    packed = training.pack_training_rows(_training_rows(spark, d))
     kept = F.filter("labels", lambda x: x != fv.MASKED_LABEL)
     return packed.select(
         "doc_id",
@@ -598,6 +615,26 @@ def pack_training_rows(spark, d):
     )
 
 
+@query
+def pack_subword_rows(spark, d):
+    """Training rows of real tokens: the labels spell the start of the completion, masks cover prompt and padding."""
+    rows = _training_rows(spark, d).repartition("doc_id")
+    packed = training.pack_training_rows(rows, subwords.subword_tokens(TOKENIZER_FILE))
+    labels = F.filter("labels", lambda x: x != fv.MASKED_LABEL)
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    spelled = packed.select("*", labels.alias("_labels"), real.alias("_real")).withColumn("_text", subwords.subword_text(TOKENIZER_FILE)(F.col("_labels")))
+    # A cut through a character leaves a replacement mark at the end.
+    start = F.rtrim("_text", F.lit("\ufffd"))
+    whole = F.size("_labels") < fv.MAX_LENGTH
+    return spelled.select(
+        "doc_id",
+        F.size("input_ids").cast("bigint").alias("length"),
+        (F.when(whole, F.col("_text") == F.col("completion")).otherwise(F.startswith("completion", start))).alias("spells_completion"),
+        (F.slice("input_ids", F.col("_real") - F.size("_labels") + 1, F.size("_labels")) == F.col("_labels")).alias("labels_are_inputs"),
+        (F.size(F.filter("labels", lambda x: x == fv.MASKED_LABEL)) == F.lit(fv.MAX_LENGTH) - F.size("_labels")).alias("rest_is_masked"),
+    )
+
+
 @query
 def train_valid_split(spark, d):
     return training.train_valid_split(views.documents(spark, d), "doc_id").select("doc_id", "split")

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import re
 import tempfile
 from pathlib import Path
 
@@ -161,3 +162,38 @@ def test_validation_size_is_exact(spark, n):
     ranked = sorted(range(n), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
     assert {r["k"] for r in split.where("split = 'valid'").collect()} == set(ranked[: math.ceil(n / 10)])
     assert split.count() == n
+
+
+def test_counters_against_digests_of_a_history(spark):
+    from docutally.operators import dataset
+
+    attempts = spark.createDataFrame([("a", False, True), ("a", False, True), ("b", False, True), ("c", False, False), ("d", True, True), (" ", False, True), ("e", False, True)], "t string, failed boolean, passed boolean")
+    history = spark.createDataFrame([("b",), ("b",), ("z",)], "t string")
+    want = {"error": 2, "roundtrip": 1, "duplicate": 2, "kept": 2}
+    for known in (history, dataset.text_digests(history, "t")):
+        counted = dataset.build_counters(attempts, "t", F.col("failed"), F.col("passed"), known)
+        assert {r["status"]: r["n"] for r in counted.collect()} == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not any(re.search(r"\bt#\d", line) for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_subword_ids_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    from docutally.functions.subwords import subword_text, subword_tokens
+    from docutally.operators.training import pack_training_rows
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    backend = Tokenizer.from_file(path)
+    backend.encode_special_tokens = True
+    texts = [(0, "Invoice 12 from café 😀"), (1, ""), (2, None), (3, "a <|endoftext|> b"), (4, "long " * 3000)]
+    frame = spark.createDataFrame(texts, "i int, t string").select("i", "t", subword_tokens(path)(F.col("t")).alias("ids"))
+    found = frame.withColumn("back", subword_text(path)(F.col("ids"))).orderBy("i").collect()
+    for (_, text), row in zip(texts, found):
+        assert row["ids"] == backend.encode(text or "", add_special_tokens=False).ids and row["back"] == (text or "")
+    rows = spark.createDataFrame([(1, "prompt text " * 400, '{"a": "b"}'), (2, "p", "long " * 700)], "i int, prompt string, completion string")
+    for row in pack_training_rows(rows, subword_tokens(path)).collect():
+        done = backend.encode(row["completion"], add_special_tokens=False).ids[:512]
+        assert len(row["input_ids"]) == len(row["labels"]) == len(row["attention_mask"]) == 512
+        assert [x for x in row["labels"] if x != -100] == done and sum(row["attention_mask"]) == 512
+        assert row["input_ids"][512 - len(done):] == done
