@@ -20,8 +20,11 @@ REGISTRY = {
     "op13_conversations": conversations.op13_conversations,
 }
 SQL = {
+    "op4_suffix_array": substrings.OP4_SQL,
     "op5_maxscore": maxscore.OP5_SQL,
     "op7_secrets": secrets.OP7_SQL,
+    "op9_minhash": minhash.OP9_SQL,
+    "op10_suffix_tree": suffixtree.OP10_SQL,
     "op11_infill": infill.OP11_SQL,
     "op12_leaks": leaks.OP12_SQL,
     "op13_conversations": conversations.OP13_SQL,

@@ -162,3 +162,21 @@ def op4_suffix_array(spark, sf_dir: str) -> DataFrame:
     from docutally.llm.common import prepare, table
 
     return remove_repeats(table(prepare(spark), sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+runs AS (SELECT rid, i, md5(array_slice(b, i, i + 399)) AS g FROM (SELECT *, unnest(range(1, greatest(octet_length(b) - 398, 1))) AS i FROM texts)),
+again AS (SELECT g FROM runs GROUP BY g HAVING count(*) > 1),
+marked AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 1 ELSE 0 END AS fresh FROM runs SEMI JOIN again USING (g)),
+spans AS (
+  SELECT rid, min(i) AS low, max(i) + 400 AS high FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island FROM marked) GROUP BY rid, island),
+sums AS (SELECT rid, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(hex(array_slice(b, low, high - 1)), '' ORDER BY low) AS h FROM (
+    SELECT rid, coalesce(lag(high) OVER (PARTITION BY rid ORDER BY low), 1) AS low, low AS high FROM spans
+    UNION ALL SELECT rid, max(high), 9000000000000 FROM spans GROUP BY rid) JOIN texts USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM texts LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -187,3 +187,16 @@ def op10_suffix_tree(spark, sf_dir: str) -> DataFrame:
     from docutally.llm.common import prepare, table
 
     return remove_passages(table(prepare(spark), sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS rank, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT rid, rank, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM texts)),
+earliest AS (SELECT g, min(rank) AS least FROM runs GROUP BY g),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM runs JOIN earliest USING (g) WHERE least < rank),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""
