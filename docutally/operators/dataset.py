@@ -265,13 +265,12 @@ def attempt_status(
 
 
 def _unknown(texts: DataFrame, text: str, history: DataFrame | None) -> DataFrame:
-    """Rows of distinct texts that ``history`` does not hold."""
+    """Rows of distinct texts that ``history`` (texts or their digests) does not hold."""
     if history is None:
         return texts
-    # Copies in the history are folded first: the side that an anti join cannot split stays small.
-    seen = history.select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).distinct()
-    same = (F.xxhash64(texts[text]) == seen["_hash"]) & (texts[text] == seen["_text"])
-    return texts.join(seen, same, "left_anti")
+    # Only digests meet, each once: the side that an anti join cannot split stays small.
+    seen = history.select("digest").distinct() if "digest" in history.columns else text_digests(history, text)
+    return texts.join(seen, text_digest(texts[text]) == seen["digest"], "left_anti")
 
 
 def text_digests(history: DataFrame, text: str) -> DataFrame:

@@ -234,6 +234,16 @@ CTES = {
             SELECT model, doc_id, description || coalesce(u, -1), 0, least(sum(g), sum(p)) FROM per_item JOIN found USING (model, doc_id) WHERE valid GROUP BY model, doc_id, description, u
         ) GROUP BY model, doc_id HAVING sum(m) > sum(s)
         UNION ALL SELECT model, doc_id, 'annotation', 'ANNOTATION_AMBIGUITY', 1 FROM labels, (SELECT unnest(['large', 'small']) AS model) WHERE quality = 0""",
+    "staged": """
+        SELECT model, doc_id, raw_text, CASE WHEN defect = 'empty' THEN 'error' WHEN NOT valid OR defect IN ('wrong_total', 'wrong_vendor') THEN 'roundtrip' ELSE 'passed' END AS stage
+        FROM found""",
+    "first_run": """
+        SELECT 0 AS run, raw_text, CASE WHEN stage <> 'passed' THEN stage WHEN row_number() OVER (PARTITION BY stage, raw_text ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'kept' END AS status
+        FROM staged WHERE model = 'large' AND doc_id % 2 = 0""",
+    "told": """
+        SELECT * FROM first_run UNION ALL
+        SELECT 1, raw_text, CASE WHEN stage <> 'passed' THEN stage WHEN raw_text IN (SELECT raw_text FROM first_run WHERE status = 'kept')
+               OR row_number() OVER (PARTITION BY stage, raw_text ORDER BY doc_id, model) > 1 THEN 'duplicate' ELSE 'kept' END FROM staged""",
     # generated invoices
     "gen": f"""
         SELECT o_orderkey AS doc_id,
@@ -268,7 +278,7 @@ _DEPENDS = {
     "found_text": ["found_items"], "found": ["marked", "found_text"], "answers": ["found"], "outcome": ["answers"],
     "fields": ["found"], "n_right": ["fields"], "both_sides": ["found", "found_items"], "per_item": ["both_sides"],
     "per_text": ["per_item"], "item_scores": ["per_text"], "results": ["n_right", "item_scores"],
-    "metric_rows": ["results"], "error_rows": ["fields", "found", "per_item", "invented"], "stated": ["lines", "headers"], "invented": ["marked", "stated"], "gen_order": ["gen"],
+    "metric_rows": ["results"], "error_rows": ["fields", "found", "per_item", "invented"], "stated": ["lines", "headers"], "staged": ["found"], "first_run": ["staged"], "told": ["first_run"], "invented": ["marked", "stated"], "gen_order": ["gen"],
     "gen_items": ["gen_order"], "gen_sums": ["gen_items"], "gen_money": ["gen_sums"],
 }
 
@@ -396,6 +406,11 @@ def statements() -> dict[str, str]:
         FROM (SELECT *, CASE WHEN defect = 'empty' THEN 'error' WHEN NOT valid OR defect IN ('wrong_total', 'wrong_vendor') THEN 'roundtrip' ELSE 'passed' END AS stage FROM found))
         GROUP BY status""", "found")
 
+    add("build_dataset", f"""SELECT run, status, count(k) AS n FROM (
+            SELECT * FROM (VALUES (0, 'error'), (0, 'roundtrip'), (0, 'duplicate'), (0, 'kept'), (1, 'error'), (1, 'roundtrip'), (1, 'duplicate'), (1, 'kept')) v(run, status))
+        LEFT JOIN (SELECT run, status, 1 AS k FROM told) USING (run, status) GROUP BY run, status
+        UNION ALL SELECT 1, CASE WHEN {_IS_TEST.format('raw_text')} < 1500 THEN 'test' ELSE 'train' END, count(*) FROM told WHERE status = 'kept' GROUP BY ALL""", "told")
+
     # dataset profile
     add("vendor_profile", """SELECT vendor_name, n, (SELECT count(*) FROM headers) AS total_rows, (SELECT count(DISTINCT vendor_name) FROM headers) AS distinct_vendors
         FROM (SELECT vendor_name, count(*) AS n, min(doc_id) AS first_position FROM headers GROUP BY vendor_name ORDER BY n DESC, first_position LIMIT 5)""", "headers")

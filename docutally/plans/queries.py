@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docutally import fixed_values as fv
 from docutally.functions import subwords
 from docutally.functions.text import is_blank, norm_number, norm_text, sha256_mod_10000, word_count
-from docutally.operators import dataset, evaluate, evidence, profile, requestlog, training
+from docutally.operators import build, dataset, evaluate, evidence, profile, requestlog, training
 from docutally.operators.clients import layout_reader
 from docutally.operators.extract import (
     Model, add_cost, answer_error, apply_model, baseline_table, fixed_answer, outcomes, route, route_on_invalid,
@@ -427,6 +427,23 @@ def build_counters_history(spark, d):
     return dataset.build_counters(attempts, "raw_text", F.col("failed"), F.col("passed"), dataset.text_digests(history, "raw_text"))
 
 
+@query
+def build_dataset(spark, d):
+    """Two runs of the dataset job: statuses of each, with hits in the history, and the rows of the splits."""
+    path = fresh_path(spark, "dataset")
+    answers = check_answers(views.model_output(spark, d, ("large", "small"))).select(
+        (F.col("doc_id") * 2 + (F.col("model") == "small").cast("int")).alias("attempt_id"), "doc_id", "model", "raw_text", "raw_output", "invoice", "valid",
+        F.col("record.total_amount.text").alias("found_total"), F.col("record.vendor_name").alias("found_vendor"),
+        F.col("invoice.total_amount").alias("target_total"), F.col("invoice.vendor_name").alias("target_vendor"),
+    )
+    first = answers.where("model = 'large' AND doc_id % 2 = 0")
+    parts = [(run, build.build(rows, path, is_blank("raw_output"), _passed())) for run, rows in enumerate([first, answers])]
+    counts = [rows.select(F.lit(run).alias("run"), "status", "n") for run, rows in parts]
+    splits = [rows.select(F.lit(1).alias("run"), F.lit(name).alias("status")).groupBy("run", "status").agg(F.count(F.lit(1)).alias("n"))
+              for name, rows in (("train", jsonl.read_train(spark, f"{path}/train")), ("test", jsonl.read_pairs(spark, f"{path}/test")))]
+    return counts[0].unionByName(counts[1]).unionByName(splits[0]).unionByName(splits[1])
+
+
 # --- dataset profile -----------------------------------------------------------------
 @query
 def vendor_profile(spark, d):
