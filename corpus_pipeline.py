@@ -61,8 +61,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of ``REPEATED`` bytes that stand at several places of the remaining corpus."""
     prepare(spark)
-    # Shorter samples and wider blocks than for 400 bytes: fewer rows, the same result.
-    cut = substrings.remove_repeats(boxed(docs, NEW), REPEATED, keep=[ROW], with_text=True, gram=32, block=128)
+    # Shorter samples than for 400 bytes: fewer of them, the same result.
+    cut = substrings.remove_repeats(boxed(docs, NEW), REPEATED, keep=[ROW], with_text=True, gram=32)
     return unboxed(cut, docs.columns, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
