@@ -13,13 +13,19 @@ Scale: vectors are dealt into shards of about ``shard_rows`` rows and queries in
 ``block_rows``; a task holds one shard and one block. What is shuffled is vectors x query blocks plus
 queries x shards, and k rows per query and shard come back. Equal vectors spread by id.
 
+Vectors whose products might leave 64 bits are searched apart, by the same method on Python integers; all others stay on
+machine integers whatever else lies in their shard.
+
 Defined results: see ``vectors.usable`` for vectors that take no part; a query never finds its own
 id; fewer than k candidates give all of them; vectors of different lengths never meet; ties go to
-the smaller id; empty tables give an empty result; other columns are ignored.
+the smaller id; empty tables give an empty result; other columns are ignored. Components beyond 64 bits count as
+the nearest 64-bit integer, and so do scores (from -HIGHEST to HIGHEST), which may tie there.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +35,14 @@ from docutally.llm.vectors import best, bucket, matrix, usable
 
 #: Vectors between two updates of the threshold.
 BLOCK = 4096
+#: The largest score told apart; its negative is the smallest.
+HIGHEST = 2**63 - 1
+
+
+def machine_sized(x: np.ndarray) -> np.ndarray:
+    """Rows whose products with one another, and all sums of these, fit 64 bits with room to spare."""
+    limit = math.isqrt(2**61 // max(x.shape[1], 1))
+    return ((x <= limit) & (x >= -limit)).all(axis=1)
 
 
 class Shard:
@@ -46,17 +60,17 @@ class Shard:
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` best vectors for the query."""
-        terms = [(d, int(np.sign(q[d]))) for d in np.flatnonzero(q)]
+        terms = [(d, 1 if q[d] > 0 else -1) for d in np.flatnonzero(q)]
         lists = [self.postings[t] for t in terms]
-        bounds = np.array([abs(int(q[d])) * abs(int(self.x[p[0], d])) if len(p) else 0 for (d, _), p in zip(terms, lists)], dtype=np.int64)
+        bounds = np.array([abs(int(q[d])) * abs(int(self.x[p[0], d])) if len(p) else 0 for (d, _), p in zip(terms, lists)], dtype=self.x.dtype)
         order = np.argsort(-bounds, kind="stable")
         found = self._exact(own, q, np.unique(np.concatenate([lists[i][: 2 * k] for i in order[:8]])) if len(order) else np.zeros(0, np.int64), k)
-        tails = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0]])
+        tails = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)
         # Essential terms: the shortest head after which the rest of the bounds stays below the k-th score.
         floor = self._floor(found, k)
         essential = int(np.argmax(tails < floor)) if floor is not None and (tails < floor).any() else len(order)
         reached = np.zeros(len(self.ids), dtype=bool)
-        partial = np.zeros(len(self.ids), dtype=np.int64)
+        partial = np.zeros(len(self.ids), dtype=self.x.dtype)
         for i in order[:essential]:
             d, _ = terms[i]
             partial[lists[i]] += q[d] * self.x[lists[i], d]
@@ -81,6 +95,8 @@ class Shard:
     def _exact(self, own, q, places, k):
         places = places[self.ids[places] != own]
         scores = self.x[places] @ q
+        if scores.dtype == object:
+            scores = np.array([min(max(s, -HIGHEST), HIGHEST) for s in scores], dtype=np.int64)
         top = best(scores, self.ids[places], k)
         return self.ids[places[top]], scores[top]
 
@@ -93,7 +109,20 @@ class Shard:
 
     @staticmethod
     def _floor(found, k):
-        return found[1][-1] if len(found[1]) == k else None
+        return int(found[1][-1]) if len(found[1]) == k and found[1][-1] > -HIGHEST else None
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, ids, scores) of the best ``k`` of a shard for each query, or ``k`` of either kind of vector."""
+    small, short = machine_sized(x), machine_sized(queries)
+    parts = [(small, short, np.int64)] if small.all() and short.all() else [(small, short, np.int64), (~small, short, object), (np.ones(len(x), bool), ~short, object)]
+    out = []
+    for held, posed, kind in parts:
+        if held.any() and posed.any():
+            shard = Shard(ids[held], x[held].astype(kind))
+            found = [(q, *shard.search(q, v, k)) for q, v in zip(own[posed].tolist(), queries[posed].astype(kind))]
+            out += [(np.full(len(i), q, np.int64), i, s) for q, i, s in found]
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, block_rows: int = 1024) -> DataFrame:
@@ -112,10 +141,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         dim = key[0].as_py()
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        shard = Shard(left.column("id").to_numpy(), matrix(left, "vec", dim))
-        ids, queries = right.column("id").to_numpy(), matrix(right, "vec", dim)
-        found = [shard.search(own, q, k) for own, q in zip(ids, queries)]
-        return pa.table([np.repeat(ids, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], schema=schema)
+        found = search_shard(left.column("id").to_numpy(), matrix(left, "vec", dim), right.column("id").to_numpy(), matrix(right, "vec", dim), k)
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema) if found else schema.empty_table()
 
     keys = ("dim", "shard", "block")
     found = kept.groupBy(*keys).cogroup(posed.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score long")

@@ -82,3 +82,20 @@ def test_empty_and_few(llm):
     few = table(llm, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])])
     assert [r["id"] for r in hilbert.nearest(few, F.col("id") == 0).orderBy("rank").collect()] == [1, 2]
     assert [r["id"] for r in maxscore.top_k(few, F.col("id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("shard", [16, 16384])
+def test_maxscore_with_very_large_components(llm, shard):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(200 + i, [v, -1.0, float(i), 0.5]) for i, v in enumerate([1e8, -1e8, 1.2e7, 1e15, -1e17, 3e37, -3e37])]
+    rows += [(i, [c * 10.0**8 for c in v]) for i, v in ((300, rows[1][1]), (350, rows[50][1]), (400, rows[9][1]))]
+    frame = table(llm, rows)
+    exact = {r["vec_id"]: [min(max(math.floor(256 * x), -(2**63)), 2**63 - 1) for x in r["embedding"]] for r in frame.collect()}
+    assert max(map(abs, exact[205])) == 2**63 - 1
+
+    def score(a, b):
+        return min(max(sum(x * y for x, y in zip(a, b)), -maxscore.HIGHEST), maxscore.HIGHEST)
+
+    got = maxscore.top_k(frame, F.col("id") % 50 == 0, 5, shard_rows=shard, block_rows=2)
+    assert sorted(map(tuple, got.collect())) == brute(exact, [i for i in exact if i % 50 == 0], 5, score)
