@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docutally.llm import hashing as H
@@ -84,7 +84,7 @@ def tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 rows["heads"].append(heads)
                 rows["rests"].append([zlib.crc32(raw[at:]) for at in steps])
                 rows["terms"].append(terms.astype("<u4").tobytes())
-                rows["counts"].append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                rows["counts"].append(counts.astype("<u4").tobytes())
                 rows["likeness"].append(int((H.mix(pairs).min() if len(pairs) else np.uint64(0)) >> np.uint64(1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(rows[f.name], f.type) for f in out)], names=["doc", *out.names])
 
@@ -205,14 +205,29 @@ def fill(lengths: np.ndarray, neighbours, window: int, cut: int) -> list[list[tu
         windows.append(now)
 
 
+def numbered(sizes: DataFrame, span: int = 4096) -> DataFrame:
+    """``sizes`` (bucket, parts) with ``first``, the number of parts of all buckets before.
+
+    Sums of ``span`` buckets each are added up in one task, and within a span by itself.
+    """
+    spans = sizes.groupBy(F.floor(F.col("bucket") / span).alias("span")).agg(F.sum("parts").alias("all"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("span", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = sizes.withColumn("span", F.floor(F.col("bucket") / span)).join(spans, "span")
+    return dealt.withColumn("first", F.col("start") + F.coalesce(F.sum("parts").over(within), F.lit(0))).drop("span", "start")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cut: int = CUT, shard: int = SHARD) -> DataFrame:
     """Rows (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
     drawn = written(tails(docs, id_col, text_col, window, cut), "tails")
     corpus = corpus_of(drawn, window)
     buckets = max(1, -(-corpus.n // shard))
-    dealt = drawn.withColumn("bucket", F.pmod("likeness", F.lit(buckets)))
-    sizes = dealt.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / shard).alias("parts"))
-    dealt = dealt.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc", "tokens"), "parts"))
+    # Numbers of rows depend on the files of the written table only; with them repeated rows spread as well.
+    dealt = drawn.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod("likeness", F.lit(buckets)))
+    sizes = numbered(dealt.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / shard).alias("parts")))
+    dealt = dealt.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("doc", "tokens", "row"), "parts"))
+    dealt = dealt.withColumn("group", F.col("first") + F.col("part"))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = docs.select(F.col(id_col).alias("doc")).schema
     for name in names:
@@ -220,13 +235,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     def place(key, table):
         table = table.sort_by([("doc", "ascending"), ("tokens", "ascending"), ("likeness", "ascending")])
-        bucket, part = (k.as_py() for k in key)
         tokens = table.column("tokens").to_numpy()
         lengths = tokens % window
         terms = [np.frombuffer(t, "<u4") for t in table.column("terms").to_pylist()]
-        counts = [np.frombuffer(t, np.uint8) for t in table.column("counts").to_pylist()]
+        counts = [np.frombuffer(t, "<u4") for t in table.column("counts").to_pylist()]
         heads, rests, wholes = (table.column(c).to_pylist() for c in ("heads", "rests", "wholes"))
-        base, sequence, rows = (bucket << 39) + (part << 23), 0, []
+        base, sequence, rows = key[0].as_py() << 23, 0, []
         for i, crcs in enumerate(wholes):
             for j, crc in enumerate(crcs):
                 rows.append((i, j * window, window, crc, base + sequence, 0))
@@ -242,7 +256,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         i, start, length, crc, sequences, offset = (np.array(c, np.int64) for c in zip(*rows))
         return pa.table([table.column("doc").take(pa.array(i)), *(pa.array(c) for c in (start, length, crc, tokens[i], sequences, offset))], names=["doc", *names])
 
-    done = dealt.drop("parts").groupBy("bucket", "part").applyInArrow(place, schema)
+    done = dealt.drop("bucket", "part", "parts", "first", "row").groupBy("group").applyInArrow(place, schema)
     return done.select(F.col("doc").alias(id_col), *names)
 
 
