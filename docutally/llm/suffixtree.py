@@ -68,6 +68,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     text = text_or_empty(text_col)
     texts = docs.select(F.xxhash64(id_col, text).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("_text"))
+    # Distances from an anchor are at most length - prefix; a multiple of 256 keeps them apart at any length.
+    wide = 256 * -(-(length - prefix + 1) // 256)
     suffix = pa.schema([("path", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
 
     def suffixes(batches):
@@ -80,13 +82,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 anchor, low, high = _anchors(grams, owner, length, prefix)
                 text = owner[anchor]
                 # Anchor and the distances of its first and last start, in one number.
-                place = (anchor - first_word[text]) * 65536 + (anchor - low) * 256 + (anchor - high)
+                place = ((anchor - first_word[text]) * wide + (anchor - low)) * wide + (anchor - high)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), pa.array(keys[first:last][text]), pa.array(place)], schema=suffix)
 
     sampled = written(texts.select("key", "_text").mapInArrow(suffixes, "path long, key long, place long"), "suffixes")
     # Written first, so that both sides of the join are plain shuffles and a prefix with very many suffixes is split.
     groups = written(sampled.groupBy("path").count().filter("count > 1").select("path"), "groups")
-    lists = sampled.join(groups.hint("merge"), "path").groupBy("key").agg(F.collect_list("place").alias("places"))
+    lists = sampled.join(groups.hint("merge"), "path").groupBy("key").agg(F.collect_set("place").alias("places"))
     carried = packed(texts, "_text")
     node = pa.schema([("core", pa.int64()), ("full", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("n", pa.int32())])
 
@@ -99,7 +101,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 starts, ends, _ = H.words(data, np.array([0, len(data)]))
                 words = H.Spans(data)(starts, ends)
                 sums = Sequences(words)
-                anchor, far, near = place >> 16, (place >> 8) & 255, place & 255
+                anchor, far, near = place // wide**2, place // wide % wide, place % wide
                 first, last = near // block, far // block
                 count = last - first + 1
                 number = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -120,7 +122,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     whole = placed.filter("deep_first < doc").select("key", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
     # One that is first below its full node may still share single windows with a smaller document.
     apart = placed.filter("deep_first = doc").select("key", F.struct("low", "n", (F.col("first") < F.col("doc")).alias("open")).alias("block"))
-    apart = apart.groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    apart = apart.groupBy("key").agg(F.collect_set("block").alias("blocks"))
     window = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("open", pa.bool_())])
 
     def windows(batches):
@@ -143,7 +145,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     single = written(carried.join(apart, "key").mapInArrow(windows, "left long, right long, key long, doc long, low int, open boolean"), "nodes")
     firsts = single.groupBy("left", "right").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("left", "right", "first")
     ends = single.filter("open").join(firsts, ["left", "right"]).filter("first < doc").select("key", "low", (F.col("low") + length).alias("high"))
-    return whole.unionByName(ends).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return whole.unionByName(ends).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
 
 class Sequences:
