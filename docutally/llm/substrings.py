@@ -102,7 +102,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     # Round 3: cores with several wholes; one block of each is taken apart.
     several = classes.groupBy("core").count().filter("count > 1").select("core")
     apart = classes.join(several, "core").select(F.col("one.key").alias("key"), F.struct(F.col("one.low").alias("low"), F.col("one.n").alias("n"), (F.col("copies") == 1).alias("open")).alias("block"))
-    lists = apart.groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    lists = apart.groupBy("key").agg(F.collect_set("block").alias("blocks"))
     half = length // 2
     pair = pa.schema([("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("low", pa.int32()), ("open", pa.bool_())])
 
@@ -122,7 +122,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     pairs = written(packed(texts, "_text").join(lists, "key").mapInArrow(starts, "key long, left long, right long, low int, open boolean"), "ranks")
     again = pairs.groupBy("left", "right").count().filter("count > 1").select("left", "right")
     single = pairs.filter("open").join(again, ["left", "right"]).select("key", "low", (F.col("low") + length).alias("high"))
-    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return whole.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep=(), with_text: bool = False, **sampling) -> DataFrame:
