@@ -10,7 +10,7 @@ result counts differences per document.
 Scale: map-only. What a worker keeps is bounded by ``KEPT`` segments.
 
 Defined results: null text counts as empty and has no ids; rows that share an id are encoded each; a text is
-decoded to its normalised form; an empty table gives an empty result; other columns are ignored.
+decoded to its normalised form, a marker of its own to a space (the library drops leading ones); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
