@@ -7,8 +7,9 @@ label such as ``Total:`` or a sign ``=`` or ``@``; every other number is a quant
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docutally import fixed_values as fv
 from docutally.schemas import MONEY
@@ -28,42 +29,98 @@ KINDS = {
     "code": r"(?<!\w)(?:[A-Za-z]++[-#/_]?\d[\w#/-]*|#\d[\w-]*|\d[\d.]*(?![x×]\b)[A-Za-z][\w-]*|\d+(?:[-/]\d+)+)",
     "quantity": rf"(?<![\w.]){_NUMBER}(?=[x×]?(?!\w))",
 }
-PATTERN = "|".join(f"({part})" for part in KINDS.values())
+#: What every kind asks of its first characters, looked at once: no token starts inside a word unless with a sign or a digit, and
+#: letters at its start are followed by a digit, with at most three marks or spaces between.
+_START = r"(?=[-.#$€£₹\dA-Za-z])(?:(?<!\w)|(?=[-.\d]))(?![A-Za-z]++(?![-#/_.\s]{0,3}\d))"
+PATTERN = _START + "(?:" + "|".join(f"({part})" for part in KINDS.values()) + ")"
 
 
-def _group(kind: str) -> int:
-    return list(KINDS).index(kind) + 1
+#: Marks around a token and between its kinds. No kind takes a control character, and any other one stands in for them in a text.
+_EDGE, _SLOT, _OTHER = "\x01", "\x02", "\x03"
+
+
+def _pieces(text) -> Column:
+    """The text cut into what stands before a token, the token, what stands before the next one, and so on.
+
+    One pass of the pattern: a token comes with one slot per kind, and all slots but its own are empty.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    slots = _SLOT.join(f"${i + 1}" for i in range(len(KINDS)))
+    marked = F.regexp_replace(F.translate(text, _EDGE + _SLOT, _OTHER * 2), PATTERN, f"{_EDGE}{slots}{_EDGE}")
+    return F.split(marked, _EDGE, -1)
 
 
 def stated(kind: str, text="raw_text") -> Column:
     """The distinct values of one kind that a text states: numbers in comparable form, dates and codes as they stand."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(_group(kind))), lambda x: x != "")
+    # The slots of one kind, one after the other: every other kind leaves its mark only.
+    text = F.col(text) if isinstance(text, str) else text
+    slot = f"{_EDGE}${list(KINDS).index(kind) + 1}{_EDGE}"
+    marked = F.regexp_replace(F.translate(text, _EDGE + _SLOT, _OTHER * 2), PATTERN, slot)
+    # Between two marks stand the tokens, at odd places the text around them; only the former are kept, as \x02token.
+    tokens = F.regexp_replace(marked, f"(?s)[^{_EDGE}]*+{_EDGE}([^{_EDGE}]*+){_EDGE}(?:[^{_EDGE}]*+\\z)?", f"{_SLOT}$1")
+    found = F.array_remove(F.split(F.when(F.contains(tokens, F.lit(_SLOT)), tokens), _SLOT, -1), "")
+    found = F.when(text.isNotNull(), F.coalesce(found, F.array().cast("array<string>")))
     if kind in ("date", "code"):
         return F.array_distinct(found)
     # A token has nothing but digits, marks and a currency, so no pattern is needed to read it.
-    return F.array_distinct(F.transform(found, lambda x: F.translate(x, "$€£₹,% \n\tABCDEFGHIJKLMNOPQRSTUVWXYZ", "").try_cast(MONEY)))
+    plain = F.split(F.translate(F.array_join(found, _SLOT), "$€£₹,% \n\tABCDEFGHIJKLMNOPQRSTUVWXYZ", ""), _SLOT, -1)
+    numbers = plain.try_cast(T.ArrayType(MONEY))
+    return F.when(F.size(found) > 0, F.array_distinct(numbers)).when(text.isNotNull(), F.array().cast(T.ArrayType(MONEY)))
+
+
+def places(text="raw_text") -> Column:
+    """All tokens of a text by place: structs (kind, start, stop, text), characters from 0, stop exclusive; null for null.
+
+    Places are running sums over the text's pieces. They are made in runs of about as many pieces as there are runs, so that no list is
+    copied for every piece of a long text.
+    """
+    pieces = _pieces(text)
+    return F.transform(F.array(pieces), _placed)[0]
+
+
+def _placed(pieces: Column) -> Column:
+    n_tokens = F.floor(F.size(pieces) / 2).cast("int")
+    run = F.ceil(F.sqrt(n_tokens)).cast("int")
+    none = F.array().cast("array<bigint>")
+
+    def token(piece: Column) -> Column:
+        return F.translate(piece, _SLOT, "")
+
+    # Per token the characters from the stop of the one before to its own stop.
+    steps = F.transform(
+        F.sequence(F.lit(1), n_tokens),
+        lambda i: (F.char_length(F.get(pieces, 2 * i - 2)) + F.char_length(token(F.get(pieces, 2 * i - 1)))).cast("bigint"),
+    )
+
+    def sums(values: Column, first: Column) -> Column:
+        """Running sums, from ``first`` on."""
+        start = F.struct(first.alias("at"), none.alias("list"))
+        return F.aggregate(values, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["list"], s["at"] + x).alias("list")))["list"]
+
+    def stops_of(lengths: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / run).cast("int") - 1), lambda r: F.slice(lengths, r * run + 1, run))
+        zero = F.lit(0).cast("bigint")
+        inner = F.transform(runs, lambda r: sums(r, zero))
+        ends = F.transform(F.array(inner), lambda lists: sums(F.transform(lists, lambda x: F.element_at(x, -1)), zero))[0]
+        return F.flatten(F.transform(inner, lambda x, i: F.transform(x, lambda stop: stop + F.when(i == 0, zero).otherwise(F.get(ends, i - 1)))))
+
+    stops = F.transform(F.array(steps), stops_of)[0]
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    found = F.transform(
+        stops,
+        lambda stop, i: F.struct(
+            F.get(kinds, F.char_length(F.get(pieces, 2 * i + 1)) - F.char_length(F.ltrim(F.get(pieces, 2 * i + 1), F.lit(_SLOT)))).alias("kind"),
+            (stop - F.char_length(token(F.get(pieces, 2 * i + 1)))).alias("start"),
+            stop.alias("stop"),
+            token(F.get(pieces, 2 * i + 1)).alias("text"),
+        ),
+    )
+    return F.when(n_tokens > 0, found).when(pieces.isNotNull(), F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,text:string>>"))
 
 
 def spans(rows: DataFrame, keys: list[str], text: str = "raw_text") -> DataFrame:
     """Rows (keys, kind, start, stop, text) of all tokens, by place (characters from 0, stop exclusive).
 
-    ``keys`` tell the rows apart. Places are running sums over a document's pieces, one row each, whatever its length.
+    A row gives its tokens by itself, without a shuffle.
     """
-    whole = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-
-    def places(kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(_group(kind))), lambda x: F.when(x != "", kind)).alias(kind)
-
-    kinds = [places(kind) for kind in KINDS]
-    pieces = F.arrays_zip(F.split(text, PATTERN, -1).alias("before"), whole.alias("token"), *kinds)
-    each = rows.where(F.col(text).isNotNull()).select(*keys, F.posexplode(pieces).alias("_n", "_piece")).where("_piece.token IS NOT NULL")
-    so_far = Window.partitionBy(*keys).orderBy("_n")
-    length = F.char_length("_piece.token")
-    stop = F.sum(F.char_length("_piece.before") + length).over(so_far)
-    return each.select(
-        *keys,
-        F.coalesce(*[F.col(f"_piece.{k}") for k in KINDS]).alias("kind"),
-        (stop - length).alias("start"),
-        stop.alias("stop"),
-        F.col("_piece.token").alias("text"),
-    )
+    return rows.select(*keys, places(text).alias("_places")).select(*keys, F.inline("_places"))
