@@ -63,4 +63,4 @@ def write_splits(spark: SparkSession, path: str, schema, test_split: float = fv.
     """Make train and test of all kept rows anew; where nothing was ever kept there are none."""
     kept = runs(spark, path, schema).where("status = 'kept'").select("raw_text", "invoice")
     if kept.take(1):
-        jsonl.write_splits(kept, f"{path}/train", f"{path}/test", test_split)
+        jsonl.write_splits(kept, f"{path}/train", f"{path}/test", test_split, made=True)

@@ -39,8 +39,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, append: bool) -> None:
-    # A null field is written as null, so a label keeps all its keys.
-    rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
+    # A null field is written as null, so a label keeps all its keys. Every line repeats keys, every prompt its instructions:
+    # compressed, the files take a small part of the space.
+    rows.write.mode("append" if append else "overwrite").options(ignoreNullFields="false", compression="gzip").json(path)
 
 
 def write_pairs(pairs: DataFrame, path: str, append: bool = False) -> None:
@@ -57,14 +58,15 @@ def write_test(pairs: DataFrame, path: str) -> None:
     _write(pairs.select("raw_text", "invoice"), path, append=False)
 
 
-def write_splits(pairs: DataFrame, train_path: str, test_path: str, test_split: float) -> None:
+def write_splits(pairs: DataFrame, train_path: str, test_path: str, test_split: float, made: bool = False) -> None:
     """Split accumulated pairs by text hash and rewrite the train and test files.
 
-    The pairs are made once: both files read what was written.
+    The pairs are made once: both files read what was written. Pairs that are a written table already (``made``) are read as they are.
     """
-    kept = fresh_path(pairs.sparkSession, "pairs")
-    write_pairs(pairs, kept)
-    pairs = read_pairs(pairs.sparkSession, kept)
+    if not made:
+        kept = fresh_path(pairs.sparkSession, "pairs")
+        write_pairs(pairs, kept)
+        pairs = read_pairs(pairs.sparkSession, kept)
     is_test = is_test_row("raw_text", test_split)
     write_train(pairs.where(~is_test), train_path)
     write_test(pairs.where(is_test), test_path)
