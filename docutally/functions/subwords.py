@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Texts that are encoded or decoded at a time.
+AT_A_TIME = 16
+
+
 def _loaded(path: str):
     """The tokenizer of a file, read once per Python worker."""
     cache = vars(sys.modules.setdefault("_docutally_tokenizers", types.ModuleType("_docutally_tokenizers")))
@@ -29,8 +33,13 @@ def subword_tokens(path: str) -> Callable[[Column], Column]:
     """Function from a text column to its token ids (null: none), with the vocabulary file at ``path`` on every machine."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        found = _loaded(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
+        tokenizer, kind = _loaded(path), pa.list_(pa.int32())
+        # An encoding holds words, places and masks besides its ids, some hundred bytes a token: few are kept at a time.
+        parts = [pa.array([], kind)]
+        for at in range(0, len(texts), AT_A_TIME):
+            found = tokenizer.encode_batch_fast([t or "" for t in texts.slice(at, AT_A_TIME).to_pylist()], add_special_tokens=False)
+            parts.append(pa.array([e.ids for e in found], kind))
+        return pa.concat_arrays(parts)
 
     return F.arrow_udf(encode, "array<int>")
 
@@ -39,6 +48,10 @@ def subword_text(path: str) -> Callable[[Column], Column]:
     """Function from a column of token ids to their text."""
 
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array(_loaded(path).decode_batch([i or [] for i in ids.to_pylist()], skip_special_tokens=False), pa.string())
+        tokenizer = _loaded(path)
+        parts = [pa.array([], pa.string())]
+        for at in range(0, len(ids), AT_A_TIME):
+            parts.append(pa.array(tokenizer.decode_batch([i or [] for i in ids.slice(at, AT_A_TIME).to_pylist()], skip_special_tokens=False), pa.string()))
+        return pa.concat_arrays(parts)
 
     return F.arrow_udf(decode, "string")
