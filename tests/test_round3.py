@@ -71,3 +71,15 @@ def test_few_texts_are_encoded_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(subwords.F, "arrow_udf", lambda f, kind: f)
     got = subwords.subword_tokens("any")(pa.array(["a" * i for i in range(100)])).to_pylist()
     assert got == [[i] for i in range(100)] and max(sizes) <= subwords.AT_A_TIME
+
+
+def test_merges_of_a_growing_day_write_no_more_than_a_multiple_of_it():
+    from docutally.sources.requestlog import MAX_FILES, _crowded
+
+    batch, files, rewritten = 5_000_000, [], 0
+    for n in range(1, 1001):
+        files.append(batch)
+        if _crowded(files):
+            files, rewritten = [sum(files)], rewritten + sum(files)
+    assert rewritten <= 3 * 1000 * batch
+    assert _crowded([1000] * (MAX_FILES + 1)) and not _crowded([1000] * MAX_FILES)
