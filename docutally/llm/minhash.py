@@ -12,8 +12,10 @@ Large buckets are not paired with themselves while splitting them helps. One cla
 and all others are compared with it. Two classes linked to the pivot are connected already. For any other pair,
 only differences from the pivot matter: two sets are as far apart as their differences are, and a class that is
 too far from the pivot must share part of its difference with every class it is linked to. So the group is split
-into smaller buckets by the elements of the differences (own shingles first, then missing ones; of the partner
-only so many that one of the required overlap must be among them), and the step repeats as long as it at least halves the pairs that are left. No pair that can be a link is given up.
+into smaller buckets by the elements of the differences, the rarest in the group first (of the partner
+only so many that one of the required overlap must be among them), and the step repeats as long as it at least halves the pairs that are left;
+buckets that it doesn't help stay as they were. Members of a bucket are paired only if their sizes, and what is left of
+both differences from the shared element on, allow a link. No pair that can be a link is given up.
 
 There are as many bands of 4 rows as a pair at the threshold needs to share a bucket with probability 1 - 1e-5: 16
 at 0.85 (1 - 7.4e-6; a pair at 0.9 1 - 4e-8), 22 at 0.8 (1 - 9.2e-6). The signature check (38 of 64 minima at 0.85, 48 of
@@ -166,7 +168,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Every (pivot a, member b) with the verdict and the member's difference from the pivot.
 
-    ``own`` is what an unlinked member may share with a partner, ``prefix`` what a partner offers. Two sets
+    ``pivot`` and ``of`` are hashes of the two sets: rows that share an id may have several. ``far`` is the size of the difference. ``own`` is what an unlinked member may share with a partner, ``prefix`` what a partner offers. Two sets
     x, y at distance at most ``t = (100 - percent) * (|x| + |y|) / (100 + percent)`` (elements in one only)
     whose differences from the pivot are X, Y share at least (|X| + |Y| - t) / 2 of them. With x not linked
     to the pivot P this is over (|Y| + (100 - percent) * (|P| - |y|) / (100 + percent)) / 2.
@@ -178,7 +180,7 @@ def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         gone = np.setdiff1d(pivot, member, assume_unique=True)
         total = len(added) + len(gone)
         linked = len(added) < len(member) and total * (100 + percent) <= (100 - percent) * (len(member) + len(pivot))
-        difference = np.concatenate([np.sort(added), np.sort(H.mix(gone ^ np.uint64(0xD1B54A32D192ED03)))]).view(np.int64)
+        difference = np.concatenate([added, H.mix(gone ^ np.uint64(0xD1B54A32D192ED03))]).view(np.int64)
         shared = int(np.floor((total + share * (len(pivot) - len(member))) / 2 + 1e-9)) + 1
         prefix = max(0, total - max(shared - 1, 1) + 1)
         # Far from the pivot, a partner cannot be near it: both sides' prefixes meet.
@@ -187,9 +189,39 @@ def _starred(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         most = int(share * len(member) * (1 + 100 / percent) + 1e-9) + 1
         prefix = min(prefix, most)
         own = 0 if linked else min(total, prefix if far else most)
-        return a, b, linked, difference[: max(own, prefix)].tolist(), own, prefix, total
+        key, of = (int(H.mix(x).sum().view(np.int64)) for x in (pivot, member))
+        return a, b, key, of, len(member), linked, difference.tolist(), own, prefix, total
 
-    return _with_sets(pairs, texts, star, "a long, b long, linked boolean, difference array<long>, own int, prefix int, far long")
+    return _with_sets(pairs, texts, star, "a long, b long, pivot long, of long, n long, linked boolean, difference array<long>, own int, prefix int, far long")
+
+
+def _spots(star: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of the buckets into which the starred groups are split, one bucket per pivot and element.
+
+    Elements stand in one order for all members of a group, by how many of them have it. Those of a single member come
+    first and make no bucket. ``rest`` counts a member's elements from this one on.
+    """
+    each = star.select("a", "pivot", F.col("b").alias("id"), "of", "n", "own", "prefix", "far", F.explode("difference").alias("element"))
+    often = each.groupBy("a", "pivot", "element").count().filter("count > 1")
+    listed = each.join(often.hint("merge"), ["a", "pivot", "element"]).groupBy("a", "pivot", "id", "of", "n", "own", "prefix", "far").agg(F.sort_array(F.collect_set(F.struct("count", "element"))).alias("elements"))
+    single = F.col("far") - F.size("elements")
+    wanted = F.greatest("own", "prefix").cast("long") - single
+    placed = listed.select("*", single.alias("single"), F.posexplode(F.slice("elements", 1, F.greatest(wanted, F.lit(0)).cast("int"))).alias("pos", "spot")).withColumn("at", F.col("single") + F.col("pos"))
+    placed = placed.join(near.hint("merge"), "id", "left")
+    return placed.select(
+        "id", F.xxhash64("a", "pivot", "spot.element").alias("bucket"), (-F.col("far")).alias("weight"), F.coalesce("component", "id").alias("part"), "n", "far", (F.col("far") - F.col("at")).alias("rest"),
+        (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"),
+    )
+
+
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open and offered members of a bucket that may be a link between two components."""
+    x = members.filter("open").select(*[F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "far", "rest")], "bucket")
+    y = members.filter("offered").select(*[F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "far", "rest")], "bucket").hint("merge")
+    # In the join's condition, so that no other pair leaves it. A link shares (far_x + far_y - t) / 2 elements, t as in _starred; all stand from its first one on.
+    apart = F.lit((100 - percent) / (100 + percent)) * (F.col("n_x") + F.col("n_y")) + 1e-6
+    can = (F.col("part_x") != F.col("part_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (2 * F.least("rest_x", "rest_y") + apart >= F.col("far_x") + F.col("far_y"))
+    return x.join(y, (x["bucket"] == y["bucket"]) & can).select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_member: int = PAIRS_PER_MEMBER, rest_per_entry: int = REST_PER_ENTRY) -> DataFrame:
@@ -198,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sets = ("n", "set_a", "set_b")
     classes = written(drawn.filter("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
     reps = drawn.join(classes.select(F.col("rep").alias("id"), *sets).hint("merge"), ["id", *sets])
-    entries = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    entries = reps.select("id", "n", F.posexplode("bands").alias("band", "key")).select("id", "n", F.xxhash64("band", "key").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(entries.join(sizes.hint("merge"), "bucket"), "buckets")
     weights = written(shared.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
@@ -215,34 +247,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = [written(_confirmed(_agreement(star, sigs, percent / 100 - MARGIN), texts, percent), "links")]
     near = components(links[0]).withColumnRenamed("node", "id")
     # What is connected already needs no further pair: buckets of one component are done, and so are those of two members.
-    members = members.filter("size > 2").join(near.hint("merge"), "id", "left").select("id", "bucket", "weight", F.coalesce("component", "id").alias("part"), F.lit(True).alias("open"), F.lit(True).alias("offered"))
-    entry_count, before = shared.count(), float("inf")
-    pairs = []
-    while True:
+    members = members.filter("size > 2").join(near.hint("merge"), "id", "left")
+    members = members.select("id", "bucket", "weight", F.coalesce("component", "id").alias("part"), "n", F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("rest"), F.lit(True).alias("open"), F.lit(True).alias("offered"))
+
+    def sized(members):
+        """The members of buckets that may give pairs, with the pairs per member that a bucket gives at most."""
         count = members.groupBy("bucket").agg(
             F.count("*").alias("size"), F.count_if("open").cast("double").alias("opens"), F.count_if("offered").alias("offers"), F.min("part").alias("low"), F.max("part").alias("high")
         ).filter("size > 1 AND opens > 0 AND offers > 0 AND low < high")
         count = count.select("bucket", (F.col("opens") * F.col("offers") / F.col("size")).alias("each"))
-        members = written(members.join(count.hint("merge"), "bucket"), "buckets")
-        rest = members.filter(F.col("each") > pairs_per_member).agg(F.coalesce(F.sum("each"), F.lit(0.0))).first()[0]
-        # Splitting goes on while it at least halves the pairs that are left.
-        last = rest <= rest_per_entry * entry_count or rest > before / 2
-        before = rest
-        few = members if last else members.filter(F.col("each") <= pairs_per_member)
-        met = few.filter("open").select(F.col("id").alias("x"), "bucket", F.col("part").alias("part_x")).join(few.filter("offered").select(F.col("id").alias("y"), "bucket", F.col("part").alias("part_y")).hint("merge"), "bucket")
-        pairs.append(met.filter("part_x <> part_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-        if last:
-            break
+        return written(members.join(count.hint("merge"), "bucket"), "buckets")
+
+    def weight_of(members):
+        return members.agg(F.coalesce(F.sum("each"), F.lit(0.0))).first()[0]
+
+    entry_count, pairs, members = shared.count(), [], sized(members)
+    while True:
         large = members.filter(F.col("each") > pairs_per_member)
-        # The pivot is an open member, the one with the commonest bucket keys.
+        rest = weight_of(large)
+        if rest <= rest_per_entry * entry_count:
+            break
+        # The pivot is an open member, the one with the commonest bucket keys; later the nearest to the pivot before.
         top = large.filter("open").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
         group = large.join(top.select("bucket", (-F.col("top.minus")).alias("a")).hint("merge"), "bucket").filter("id <> a")
         star = written(_starred(group.select("a", F.col("id").alias("b")).distinct(), texts, percent), "star")
         links.append(star.filter("linked").select("a", "b"))
-        # The next pivots are the members nearest to this one.
-        spots = star.join(near.withColumnRenamed("id", "b").hint("merge"), "b", "left").withColumn("part", F.coalesce("component", "b"))
-        spots = spots.select("a", F.col("b").alias("id"), "part", (-F.col("far")).alias("weight"), "own", "prefix", F.posexplode("difference").alias("at", "element"))
-        members = spots.select("id", F.xxhash64("a", "element").alias("bucket"), "weight", "part", (F.col("at") < F.col("own")).alias("open"), (F.col("at") < F.col("prefix")).alias("offered"))
+        split = sized(written(_spots(star, near), "spots"))
+        # Splitting goes on while it at least halves the pairs that are left.
+        if weight_of(split) > rest / 2:
+            break
+        pairs.append(_met(members.filter(F.col("each") <= pairs_per_member), percent))
+        members = split
+    pairs.append(_met(members, percent))
     every = reduce(DataFrame.union, pairs).distinct()
     checked = _confirmed(_agreement(every, sigs, percent / 100 - MARGIN), texts, percent)
     found = components(reduce(DataFrame.union, links, checked))
