@@ -31,6 +31,7 @@ table gives an empty result; other columns are ignored unless asked for in ``kee
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docutally.llm import hashing as H
-from docutally.llm.common import packed, text_or_empty, unpacked, written
+from docutally.llm.common import discard, packed, text_or_empty, unpacked, written
 
 LENGTH = 13
 PREFIX = 4
@@ -94,31 +95,32 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def blocks(batches):
         for batch in batches:
-            rows = zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), batch.column("places"), unpacked(batch.column("packed")))
-            for key, doc, places, raw in rows:
-                place = np.unique(places.values.to_numpy())
-                data = np.frombuffer(raw, np.uint8)
-                starts, ends, _ = H.words(data, np.array([0, len(data)]))
-                words = H.Spans(data)(starts, ends)
-                sums = Sequences(words)
-                anchor, far, near = place // wide**2, place // wide % wide, place % wide
+            keys, docs_of = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+            for begin, end, data, offsets in H.buffers(unpacked(batch.column("packed"))):
+                text, place = H.listed(batch.column("places"), begin, end)
+                place = place.to_numpy()
+                starts, ends, first_word = H.words(data, offsets)
+                sums = Sequences(H.Spans(data)(starts, ends))
+                anchor, far, near = place // wide**2 + first_word[text], place // wide % wide, place % wide
                 first, last = near // block, far // block
                 count = last - first + 1
                 number = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                anchor = np.repeat(anchor, count)
+                anchor, text = np.repeat(anchor, count), np.repeat(text, count)
                 near, far = anchor - number * block, anchor - np.minimum((number + 1) * block - 1, length - prefix)
                 core = H.mix(sums(near, far + length) + number.astype(np.uint64))
-                low, high = np.maximum(far, 0), np.minimum(near, len(words) - length)
+                low, high = np.maximum(far, first_word[text]), np.minimum(near, first_word[text + 1] - length)
                 full = H.mix(sums(low, high + length) + (anchor - low).astype(np.uint64))
-                n = len(core)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, doc)), pa.array(low.astype(np.int32)), pa.array((high - low + 1).astype(np.int32))], schema=node
+                    [pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(keys[begin:end][text]), pa.array(docs_of[begin:end][text]), pa.array((low - first_word[text]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32))],
+                    schema=node,
                 )
 
     shared = written(carried.join(lists, "key").mapInArrow(blocks, "core long, full long, key long, doc long, low int, n int"), "nodes")
+    discard(sampled, groups)
     deep = shared.groupBy("core", "full").agg(F.min("doc").alias("deep_first"))
     cores = shared.groupBy("core").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("core", "first")
     placed = written(shared.join(cores, "core").join(deep, ["core", "full"]), "nodes")
+    discard(shared)
     whole = placed.filter("deep_first < doc").select("key", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
     # One that is first below its full node may still share single windows with a smaller document.
     apart = placed.filter("deep_first = doc").select("key", F.struct("low", "n", (F.col("first") < F.col("doc")).alias("open")).alias("block"))
@@ -127,25 +129,28 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def windows(batches):
         for batch in batches:
-            for key, doc, todo, raw in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), batch.column("blocks").to_pylist(), unpacked(batch.column("packed"))):
-                data = np.frombuffer(raw, np.uint8)
-                starts, ends, _ = H.words(data, np.array([0, len(data)]))
+            keys, docs_of = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+            for begin, end, data, offsets in H.buffers(unpacked(batch.column("packed"))):
+                text, todo = H.listed(batch.column("blocks"), begin, end)
+                low, n, open_ = (todo.field(f).to_numpy(zero_copy_only=False) for f in ("low", "n", "open"))
+                starts, ends, first_word = H.words(data, offsets)
                 sums = Sequences(H.Spans(data)(starts, ends))
-                state = np.zeros(len(starts), np.int8)
-                for b in todo:
-                    part = state[b["low"] : b["low"] + b["n"]]
-                    np.maximum(part, 2 if b["open"] else 1, out=part)
-                at = np.flatnonzero(state)
+                low = low + first_word[text]
+                at = np.flatnonzero(H.covered(low, low + n, len(starts)))
+                wanted = H.covered(low[open_], (low + n)[open_], len(starts))[at]
+                text = H.text_of(first_word, len(starts))[at]
                 half = length // 2
-                n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sums(at, at + half).view(np.int64)), pa.array(sums(at + half, at + length).view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, doc)), pa.array(at.astype(np.int32)), pa.array(state[at] == 2)], schema=window
+                    [pa.array(sums(at, at + half).view(np.int64)), pa.array(sums(at + half, at + length).view(np.int64)), pa.array(keys[begin:end][text]), pa.array(docs_of[begin:end][text]), pa.array((at - first_word[text]).astype(np.int32)), pa.array(wanted)],
+                    schema=window,
                 )
 
     single = written(carried.join(apart, "key").mapInArrow(windows, "left long, right long, key long, doc long, low int, open boolean"), "nodes")
     firsts = single.groupBy("left", "right").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("left", "right", "first")
     ends = single.filter("open").join(firsts, ["left", "right"]).filter("first < doc").select("key", "low", (F.col("low") + length).alias("high"))
-    return whole.unionByName(ends).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    ranges = written(whole.unionByName(ends).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
+    discard(placed, single)
+    return ranges
 
 
 class Sequences:
@@ -169,16 +174,18 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def cut(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for raw, todo in zip(unpacked(batch.column("packed")), batch.column("ranges").to_pylist()):
-                words = raw.split()
-                edges = np.zeros(len(words) + 1, np.int32)
-                for r in todo or ():
-                    edges[r["low"]] += 1
-                    edges[r["high"]] -= 1
-                covered = np.cumsum(edges[:-1]) > 0
-                kept = b" ".join([w for w, gone in zip(words, covered) if not gone] if todo else words)
-                for column, value in zip(out, (len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None)):
-                    column.append(value)
+            raws = unpacked(batch.column("packed"))
+            for begin, end, _, _ in H.buffers(raws):
+                words = [raw.split() for raw in raws[begin:end]]
+                first_word = np.cumsum([0, *map(len, words)])
+                text, todo = H.listed(batch.column("ranges"), begin, end)
+                low, high = (todo.field(f).to_numpy() + first_word[text] for f in ("low", "high"))
+                covered = H.covered(low, high, first_word[-1])
+                gone, stays = np.diff(np.concatenate([[0], np.cumsum(covered)])[first_word]), (~covered).tobytes()
+                kept = [b" ".join(compress(w, stays[a : a + len(w)]) if g else w) for w, a, g in zip(words, first_word, gone)]
+                rows = (np.diff(first_word), gone, (hashlib.sha256(k).hexdigest() for k in kept), (k.decode("utf-8", "replace") if with_text else None for k in kept))
+                for column, values in zip(out, rows):
+                    column.extend(values)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[f.name for f in schema])
 
     done = joined.mapInArrow(cut, schema)
