@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-from test_evaluate import KEYS, RECEIPT, TABLE, rows
+from test_evaluate import KEYS, RECEIPT, TABLE, label, rows
 
 from docutally.operators import evaluate, evidence
 
@@ -28,3 +28,11 @@ def test_stated_values_of_odd_texts(spark):
     assert got == [None, [], [], [Decimal(5)], [Decimal(1250), Decimal(3), Decimal(7)], [None]]
     codes = frame.orderBy("id").select(evidence.stated("code"), evidence.stated("quantity")).collect()
     assert [tuple(r) for r in codes][:3] == [(None, None), ([], []), ([], [])]
+
+
+def test_items_are_counted_once_per_level(spark):
+    agreed = evaluate.with_item_agreement(rows(spark, ("", TABLE, RECEIPT), ("", TABLE, label(items=[("paper", 3.0, "2", "1.00")])))).select(*KEYS, "agreed")
+    # One count by description and one for each of the three values.
+    assert optimized(agreed).count("aggregate(") == 4
+    got = [tuple(r["agreed"]) for r in agreed.orderBy("doc_id").collect()]
+    assert got == [(0, 2, 2, 0, 0, 0), (1, 1, 0, 1, 1, 0)]
