@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docutally.operators.dataset import is_test_row
 from docutally.operators.prep import training_example
 from docutally.schemas import PAIR, TRAIN
-from docutally.session import fresh_path
+from docutally.session import cleaned, fresh_path
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -41,7 +41,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def _write(rows: DataFrame, path: str, append: bool) -> None:
     # A null field is written as null, so a label keeps all its keys. Every line repeats keys, every prompt its instructions:
     # compressed, the files take a small part of the space.
-    rows.write.mode("append" if append else "overwrite").options(ignoreNullFields="false", compression="gzip").json(path)
+    with cleaned(rows.sparkSession):
+        rows.write.mode("append" if append else "overwrite").options(ignoreNullFields="false", compression="gzip").json(path)
 
 
 def write_pairs(pairs: DataFrame, path: str, append: bool = False) -> None:

@@ -1,16 +1,33 @@
 """Work per row that must not be done twice, and disk that must not hold the same rows twice."""
 
+import time
 from decimal import Decimal
 
+from pyspark.sql import functions as F
 from test_evaluate import KEYS, RECEIPT, TABLE, label, rows
 
-from docutally.operators import evaluate, evidence
+from docutally.operators import dataset, evaluate, evidence
+from docutally.session import CLEANED
+from docutally.sources import jsonl
 
 
 def optimized(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def no_more_than(spark, before, seconds=20):
+    """Whether the shuffle files are those of ``before``, within some seconds."""
+    until = time.monotonic() + seconds
+    while (more := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    return not more
+
+
 def test_a_text_is_read_once_and_only_for_a_prediction(spark):
     frame = rows(spark, ("1 Latte 9.00", RECEIPT, TABLE), ("1 Latte 9.00", RECEIPT, None)).coalesce(1)
     flags = evaluate.with_flags(frame).select(*KEYS, "hallucinated", "hallucinated_amounts")
@@ -36,3 +53,22 @@ def test_items_are_counted_once_per_level(spark):
     assert optimized(agreed).count("aggregate(") == 4
     got = [tuple(r["agreed"]) for r in agreed.orderBy("doc_id").collect()]
     assert got == [(0, 2, 2, 0, 0, 0), (1, 1, 0, 1, 1, 0)]
+
+
+def test_lines_are_moved_before_their_items_are_made(spark):
+    lines = spark.createDataFrame([(1, 2, "b", 2.0, True), (1, 1, "a", 1.5, True), (1, 3, "c", None, False), (2, 1, "d", 4.0, False)], "doc_id int, line_no int, description string, total double, known boolean")
+    item = F.struct("description", F.col("total").cast("string").alias("total"))
+    lists = dataset.assemble_items(lines, ["line_no"], item, listed=F.when(F.col("known"), True), total="total")
+    moved = optimized(lists)
+    assert "named_struct" not in moved[moved.index("RepartitionByExpression") :]
+    got = {r["doc_id"]: ([tuple(i) for i in r["line_items"]], r["n_items"]) for r in lists.collect()}
+    assert got == {1: ([("a", "1.5"), ("b", "2.0")], 3), 2: ([], 1)}
+
+
+def test_a_sink_leaves_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+    pairs = rows(spark, ("text", TABLE, RECEIPT), ("other", RECEIPT, TABLE)).select("raw_text", "invoice").repartition(3, "raw_text")
+    jsonl.write_pairs(pairs, str(tmp_path / "pairs"))
+    jsonl.write_pairs(pairs, str(tmp_path / "pairs"), append=True)
+    assert no_more_than(spark, before) and spark.conf.get(CLEANED, None) is None
+    assert jsonl.read_pairs(spark, str(tmp_path / "pairs")).count() == 4
