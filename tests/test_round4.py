@@ -6,7 +6,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from test_evaluate import KEYS, RECEIPT, TABLE, label, rows
 
-from docutally.operators import dataset, evaluate, evidence
+from docutally.operators import build, dataset, evaluate, evidence
+from docutally.schemas import INVOICE
 from docutally.session import CLEANED
 from docutally.sources import jsonl
 
@@ -72,3 +73,29 @@ def test_a_sink_leaves_no_shuffle_files(spark, tmp_path):
     jsonl.write_pairs(pairs, str(tmp_path / "pairs"), append=True)
     assert no_more_than(spark, before) and spark.conf.get(CLEANED, None) is None
     assert jsonl.read_pairs(spark, str(tmp_path / "pairs")).count() == 4
+
+
+def test_a_run_is_made_in_slices_and_leaves_only_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(build, "SLICE_BYTES", 1)
+    path, other, seen = str(tmp_path / "set"), str(tmp_path / "whole"), []
+    texts = [(i, f"text {i % 30}", i % 11 == 0, i % 5 > 0, TABLE) for i in range(90)]
+    frame = spark.createDataFrame(texts, f"attempt_id long, raw_text string, failed boolean, passed boolean, invoice {INVOICE.simpleString()}").repartition(4, "attempt_id")
+    plain = build.with_status
+
+    def watched(*args):
+        seen.append((len(build.Folder(spark, f"{path}/_attempts").names(".parquet")), build.complete_runs(spark, path)))
+        return plain(*args)
+
+    def run(to):
+        return {r["status"]: r["n"] for r in build.build(frame, to, F.col("failed"), F.col("passed")).collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(build, "with_status", watched)
+        got = run(path)
+    # Every slice takes its files with it, and the run counts after the last one only.
+    assert len(seen) > 1 and seen == [(len(seen) - i, []) for i in range(len(seen))]
+    monkeypatch.setattr(build, "SLICE_BYTES", 10**9)
+    assert got == run(other) and sum(got.values()) == 90
+    assert sorted(build.Folder(spark, path).names()) == ["runs", "test", "train"] and build.complete_runs(spark, path) == [0]
+    files = build.Folder(spark, f"{path}/runs/run=0").names(".parquet")
+    assert files and all(".zstd." in name for name in files)
