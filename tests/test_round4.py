@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from test_evaluate import KEYS, RECEIPT, TABLE, label, rows
 
 from docutally.operators import build, dataset, evaluate, evidence
+from docutally.operators.clients import constant_client
+from docutally.operators.extract import Model
 from docutally.schemas import INVOICE
 from docutally.session import CLEANED
-from docutally.sources import jsonl
+from docutally.sources import jsonl, requestlog
+from docutally.streaming import stream
 
 
 def optimized(frame):
@@ -99,3 +102,19 @@ def test_a_run_is_made_in_slices_and_leaves_only_itself(spark, tmp_path, monkeyp
     assert sorted(build.Folder(spark, path).names()) == ["runs", "test", "train"] and build.complete_runs(spark, path) == [0]
     files = build.Folder(spark, f"{path}/runs/run=0").names(".parquet")
     assert files and all(".zstd." in name for name in files)
+
+
+def test_records_of_a_stream_need_no_search_for_the_first(spark, tmp_path, monkeypatch):
+    texts = [("1", "x"), ("2", "y"), ("2", "y"), ("3", " ")]
+    inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
+    frame = spark.createDataFrame(texts, "job_id string, raw_text string")
+    frame.write.parquet(inbox)
+
+    def never(outcomes):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(requestlog, "first_per_job", never)
+    for state in ("one", "two"):
+        source = spark.readStream.schema(frame.schema).parquet(inbox)
+        stream.stream_extract(source, [Model("m", constant_client("no answer"))], log, str(tmp_path / state))
+        assert sorted(r["job_id"] for r in stream.read_batches(spark, log).collect()) == ["1", "2"]
