@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from docutally import fixed_values as fv
 from docutally.operators.dataset import kept_attempts, text_digest, with_status
-from docutally.session import Folder, cleaned
+from docutally.session import TEXTS, Folder, cleaned
 from docutally.sources import jsonl
 
 STATUSES = ["error", "roundtrip", "duplicate", "kept"]
@@ -74,10 +74,10 @@ def build(attempts: DataFrame, path: str, failed: Column, passed: Column, order:
 
 
 def _write(rows: DataFrame, path: str, mode: str = "overwrite", complete: bool = True) -> None:
-    """Tables of texts and answers, which zstd halves. With ``complete`` off the folder does not count as complete yet."""
-    marked = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": str(complete).lower()}
+    """Write without shuffle files left behind. With ``complete`` off the folder does not count as complete yet."""
+    marked = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": str(complete).lower()}
     with cleaned(rows.sparkSession):
-        rows.write.mode(mode).options(**marked).parquet(path)
+        rows.write.mode(mode).options(**TEXTS, **marked).parquet(path)
 
 
 def _slices(spark: SparkSession, path: str) -> list[list[str]]:

@@ -3,12 +3,14 @@
 import time
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from test_evaluate import KEYS, RECEIPT, TABLE, label, rows
 
 from docutally.operators import build, dataset, evaluate, evidence
 from docutally.operators.clients import constant_client
 from docutally.operators.extract import Model
+from docutally.operators.validate import check_answers
 from docutally.schemas import INVOICE
 from docutally.session import CLEANED
 from docutally.sources import jsonl, requestlog
@@ -104,6 +106,17 @@ def test_a_run_is_made_in_slices_and_leaves_only_itself(spark, tmp_path, monkeyp
     assert files and all(".zstd." in name for name in files)
 
 
+def test_examples_are_written_without_dictionaries(spark, tmp_path):
+    frame = rows(spark, ("text", TABLE, TABLE), ("other", RECEIPT, RECEIPT), ("none", RECEIPT, None)).repartition(2, "doc_id")
+    before = shuffle_files(spark)
+    evaluate.write_run(frame, KEYS, str(tmp_path), {"run_id": "1"})
+    files = list(tmp_path.glob("examples/run_id=1/*.parquet"))
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(i) for f in files for i in range(pq.ParquetFile(f).metadata.num_columns)]
+    assert columns and {c.compression for c in columns} == {"ZSTD"} and not any(c.has_dictionary_page for c in columns)
+    assert no_more_than(spark, before)
+    assert spark.read.parquet(f"{tmp_path}/examples").count() == 3 and spark.read.parquet(f"{tmp_path}/metrics").count() == len(evaluate.METRICS)
+
+
 def test_records_of_a_stream_need_no_search_for_the_first(spark, tmp_path, monkeypatch):
     texts = [("1", "x"), ("2", "y"), ("2", "y"), ("3", " ")]
     inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
@@ -118,3 +131,10 @@ def test_records_of_a_stream_need_no_search_for_the_first(spark, tmp_path, monke
         source = spark.readStream.schema(frame.schema).parquet(inbox)
         stream.stream_extract(source, [Model("m", constant_client("no answer"))], log, str(tmp_path / state))
         assert sorted(r["job_id"] for r in stream.read_batches(spark, log).collect()) == ["1", "2"]
+
+
+def test_only_odd_lists_are_taken_apart(spark):
+    checked = check_answers(spark.createDataFrame([('{"vendor_name": "V"}',)], "raw_output string"))
+    # The items as variants are asked for behind the verdict on the whole list, not for every answer.
+    text = optimized(checked)
+    assert text.count("try_variant_get(_line_items") == 1 and "AS _list#" not in text
